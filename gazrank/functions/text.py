@@ -343,6 +343,11 @@ def sql_tokens(e: str) -> str:
     return f"regexp_extract_all({e}, {_q(R.re2(K.TOKEN_PATTERN))})"
 
 
+def _gram(tok: Column, n: int):
+    # one-argument lambda: F.transform passes (element, index) to two-argument ones
+    return lambda i: F.array_join(F.slice(tok, i + 1, n), " ")
+
+
 def ngrams(tok, n_min: int = 1, n_max: int = 1) -> Column:
     """Word n-grams ``n_min..n_max`` over a token array, unigrams first."""
     tok = _c(tok)
@@ -351,9 +356,7 @@ def ngrams(tok, n_min: int = 1, n_max: int = 1) -> Column:
         if n == 1:
             g = tok
         else:
-            g = F.transform(
-                F.sequence(F.lit(0), F.size(tok) - n),
-                lambda i, n=n: F.array_join(F.slice(tok, i + 1, n), " "))
+            g = F.transform(F.sequence(F.lit(0), F.size(tok) - n), _gram(tok, n))
             g = F.when(F.size(tok) >= n, g).otherwise(F.array().cast("array<string>"))
         out = g if out is None else F.concat(out, g)
     return out
