@@ -181,8 +181,26 @@ SECTION2_MAX_DF = 0.7
 KMEANS_K = 100
 SECTION1_ALPHA_GRID = [300.0, 1000.0, 3000.0, 10000.0, 30000.0, 100000.0]
 
-# Keywords of the keyword-weighted vectorizer (section-2 notebook example);
-# anti keywords.
+# Keywords of the keyword-weighted vectorizer (section-2 notebook example)
+# and anti keywords.
+KEYWORDS = [
+    "superior", "Ceder", "Assessor", "Coordenador-Geral", "EDUCAÇÃO", "MEIO AMBIENTE",
+    "Tecnologia da Informação", "Pessoa com Deficiência", "TURISMO", "Cultura", "Mulheres",
+    "Chefe de Gabinete", "Igualdade Racial", "xxcaiixx", "xxcaixx", "xxcddoisxx", "xxcdtxx",
+    "xxcgeiiixx", "xxcgeiixx", "xxcgeivxx", "xxcgeixx", "xxcnexx", "xxdascincoxx", "xxdasdoisxx",
+    "xxdasquatroxx", "xxdasseisxx", "xxdastresxx", "xxdasumxx", "xxfcpecincoxx", "xxfcpedoisxx",
+    "xxfcpequatroxx", "xxfcpetresxx", "xxfcpeumxx", "xxnaturezaespecialxx",
+    "xxnaturezaespecialxx xxnexx", "xxnexx", "substituto", "substituta", "substituir",
+    "Diretor", "Secretário", "Diretora", "Secretária", "Superintendente-Geral",
+    "Superintendente Regional", "Gerente Regional", "cargo de Secretário", "cargo de Secretária",
+    "comissão de Secretário", "comissão de Secretária", "comissionada de Secretário",
+    "comissionada de Secretária", "cargo de Diretor", "cargo de Diretora",
+    "comissão de Diretor", "comissão de Diretora", "comissionada de Diretor",
+    "comissionada de Diretora", "cargo de Ministro", "cargo de Ministra", "comissionado de Secretário",
+    "comissionado de Secretária", "cargo de Coordenador-Geral", "comissionado de Coordenador-Geral",
+    "comissão de Coordenador-Geral", "cargo de Assessor", "comissionado de Assessor",
+    "comissão de Assessor", "cargo de Assessora", "comissionado de Assessora", "comissão de Assessora",
+]
 ANTI_KEYWORDS = ["cargo"]
 
 # --------------------------------------------------------------------------

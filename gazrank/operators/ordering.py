@@ -3,11 +3,12 @@
 ``Window.orderBy`` without ``partitionBy`` moves every row into one task.
 Here a global position is built in two levels instead:
 
-1. ``repartitionByRange(P, keys)`` + ``sortWithinPartitions(keys)``; P is an
-   explicit number, so AQE never coalesces these partitions and
-   ``spark_partition_id`` is stable between the two uses of the frame.  The
-   key always ends with a unique id, so ties (even one value holding a third
-   of all rows) are split over many ranges.
+1. ``repartitionByRange(P, keys)`` + ``sortWithinPartitions(keys)``, then a
+   reliable ``checkpoint()``: the range bounds are sampled, so the frame is
+   materialised once and both uses below (local index, per-partition
+   counts) read exactly the same partitions.  The key always ends with a
+   unique id, so ties (even one value holding a third of all rows) are split
+   over many ranges.  Pass a narrow frame (keys, id, summed columns).
 2. ``monotonically_increasing_id`` gives each row its index inside the
    partition; the per-partition counts (at most P + G rows, G = number of
    groups) are turned into offsets by a window over that tiny table and
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
+from ..session import materialize, shuffle_partitions
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -47,8 +48,11 @@ def with_position(df: DataFrame, order: list, group: list[str] | None = None,
     spark = df.sparkSession
     p = partitions or shuffle_partitions(spark)
     keys = [F.col(g).asc_nulls_first() for g in group] + _sort_cols(order)
-    r = (df.repartitionByRange(p, *keys).sortWithinPartitions(*keys)
-         .withColumn("_pid", F.spark_partition_id())
+    # Materialised once: range bounds come from sampling, and two
+    # re-executions may sample differently, so both uses below must read
+    # the same partitions.
+    r = materialize(df.repartitionByRange(p, *keys).sortWithinPartitions(*keys))
+    r = (r.withColumn("_pid", F.spark_partition_id())
          .withColumn("_lidx", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
     aggs = [F.count(F.lit(1)).alias("_n"), F.min("_lidx").alias("_first")]
     aggs += [F.sum(c).alias(f"_s_{c}") for c in sums]

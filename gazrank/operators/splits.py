@@ -70,9 +70,14 @@ def sql_shuffle_key(id_col: str = "doc_id", seed: int = 42) -> str:
 
 def shuffled_positions(df: DataFrame, id_col: str = "doc_id", seed: int = 42,
                        name: str = "pos") -> DataFrame:
-    """SPL1: seeded permutation; ``pos`` is 1-based."""
-    keyed = df.withColumn("_key", shuffle_key(id_col, seed))
-    return with_position(keyed, ["_key", id_col], name=name).drop("_key")
+    """SPL1: seeded permutation; ``pos`` is 1-based.
+
+    Positions are computed on the narrow ``(id, key)`` frame and joined back
+    by id, so wide rows (full texts) are never range-partitioned.
+    """
+    narrow = df.select(id_col).withColumn("_key", shuffle_key(id_col, seed))
+    pos = with_position(narrow, ["_key", id_col], name=name).drop("_key")
+    return df.join(pos, id_col)
 
 
 def set_sizes(n: int, fracs: list[float]) -> list[int]:
@@ -123,8 +128,9 @@ def stratified_split(df: DataFrame, label: str, test_size: float, seed: int = 42
     """
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     alloc = stratified_allocation(counts, test_size)
-    keyed = df.withColumn("_key", shuffle_key(id_col, seed))
-    pos = with_position(keyed, ["_key", id_col], group=[label], name="_cpos").drop("_key")
+    narrow = df.select(id_col, label).withColumn("_key", shuffle_key(id_col, seed))
+    pos = with_position(narrow, ["_key", id_col], group=[label], name="_cpos").drop("_key", label)
+    pos = df.join(pos, id_col)
     lim = None
     for k, a in alloc.items():
         cond = F.col(label) == F.lit(k)
@@ -146,7 +152,7 @@ def with_kfold(df: DataFrame, k: int, id_col: str = "doc_id", seed: int | None =
     """SPL8: contiguous folds over id order (or a seeded shuffle)."""
     n = df.count()
     if seed is None:
-        pos = with_position(df, [id_col], name="_kpos")
+        pos = df.join(with_position(df.select(id_col), [id_col], name="_kpos"), id_col)
     else:
         pos = shuffled_positions(df, id_col, seed, name="_kpos")
     return pos.withColumn(name, kfold_column(F.col("_kpos") - 1, n, k)).drop("_kpos")

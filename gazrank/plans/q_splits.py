@@ -133,7 +133,7 @@ def spl13(spark, sf):
     b = base(spark, sf).withColumn("_rel", F.col("relevancia").isin(*K.RELEVANT_LABELS).cast("long"))
     n = b.count()
     sizes = S.learning_curve_sizes(n, 10)
-    keyed = b.withColumn("_key", S.shuffle_key("doc_id", 42))
+    keyed = b.select("doc_id", "relevancia", "_rel").withColumn("_key", S.shuffle_key("doc_id", 42))
     pos = with_position(keyed, ["_key", "doc_id"], name="size", sums=["relevancia", "_rel"])
     return pos.filter(F.col("size").isin(sizes)).select(
         F.col("size").cast("bigint").alias("size"), F.col("size").cast("bigint").alias("n_rows"),

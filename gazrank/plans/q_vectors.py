@@ -1 +1,352 @@
-"""Registered queries."""
+"""Registered queries: features, vocabulary and similarity (VEC*, SIM*, TOP6)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import constants as K
+from ..functions import text as T
+from ..operators import preprocess as P
+from ..operators import similarity as SIM
+from ..operators import vectorize as V
+from .common import splits, sql
+from .registry import register
+
+TEXT = "tit_org_ementa_text"
+
+
+# ----------------------------------------------------------------- shared
+
+def features(spark, sf, section=2):
+    return P.section_features(splits(spark, sf), section, keep=["doc_id", "relevancia", "split"])
+
+
+def section2_model_terms(spark, sf):
+    """Train vocabulary (df 2 .. 0.7) and binary terms of every split."""
+    f = features(spark, sf, 2)
+    n_train = splits(spark, sf).filter(F.col("split") == "train").count()
+    terms = V.doc_terms(f, "doc_id", TEXT)
+    train_ids = f.filter(F.col("split") == "train").select("doc_id")
+    vocab = V.fit_vocabulary(terms.join(train_ids, "doc_id", "left_semi"), n_train,
+                             K.SECTION2_MIN_DF, K.SECTION2_MAX_DF)
+    return f, terms, vocab
+
+
+def _sql_sec2(extra=""):
+    """CTEs: feat (section-2 features of splits), tok (distinct doc terms),
+    ntr, voc (train vocabulary), tv (in-vocabulary doc terms), len."""
+    feat = P.sql_section_features(2, keep=["doc_id", "relevancia", "split"], source="splits")
+    ctes = [
+        f"feat AS ({feat})",
+        f"tok AS (SELECT doc_id, split, relevancia, unnest(list_distinct({T.sql_tokens(TEXT)})) AS term "
+        "FROM feat)",
+        "ntr AS (SELECT count(*) AS n FROM splits WHERE split = 'train')",
+        "voc AS (SELECT term, count(*) AS df FROM tok WHERE split = 'train' GROUP BY term "
+        "HAVING count(*) >= 2 AND count(*) <= 0.7 * (SELECT n FROM ntr))",
+        "tv AS (SELECT t.* FROM tok t JOIN voc USING (term))",
+        "len AS (SELECT doc_id, count(*) AS n FROM tv GROUP BY doc_id)",
+    ]
+    if extra:
+        ctes.append(extra)
+    return ", ".join(ctes)
+
+
+# ----------------------------------------------------------------- VEC
+
+
+@register("vec1_vocabulary",
+          lambda: sql("SELECT term, CAST(df AS BIGINT) AS df, CAST(row_number() OVER (ORDER BY term) - 1 "
+                      "AS BIGINT) AS idx FROM voc", _sql_sec2()))
+def vec1_vocab(spark, sf):
+    """AGG14 / VEC1 fit: binary unigrams, 2 <= df <= 70 % of train docs."""
+    _, _, vocab = section2_model_terms(spark, sf)
+    return vocab.select("term", F.col("df").cast("bigint").alias("df"),
+                        F.col("idx").cast("bigint").alias("idx"))
+
+
+@register("vec1_binary_doc_lengths",
+          lambda: sql("SELECT f.doc_id, f.split, CAST(coalesce(l.n, 0) AS BIGINT) AS n_terms FROM feat f "
+                      "LEFT JOIN len l USING (doc_id)", _sql_sec2()))
+def vec1_docs(spark, sf):
+    """VEC1 transform: in-vocabulary binary entries per document."""
+    f, terms, vocab = section2_model_terms(spark, sf)
+    n = V.restrict(terms, vocab).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return f.select("doc_id", "split").join(n, "doc_id", "left").select(
+        "doc_id", "split", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n_terms"))
+
+
+def _sql_sec1_tfidf(extra=""):
+    feat = P.sql_section_features(1, keep=["doc_id", "relevancia", "split"], source="splits")
+    grams = T.sql_ngrams(T.sql_tokens(TEXT), 1, 2)
+    ctes = [
+        f"feat1 AS ({feat})",
+        f"tok1 AS (SELECT doc_id, split, unnest(list_distinct({grams})) AS term FROM feat1)",
+        "n1 AS (SELECT count(*) AS n FROM splits WHERE split = 'train')",
+        "voc1 AS (SELECT term, ln((1 + (SELECT n FROM n1)) / (1 + count(*))) + 1 AS idf FROM tok1 "
+        "WHERE split = 'train' GROUP BY term)",
+        "w1 AS (SELECT t.doc_id, t.split, v.idf AS value FROM tok1 t JOIN voc1 v USING (term))",
+    ]
+    if extra:
+        ctes.append(extra)
+    return ", ".join(ctes)
+
+
+def _sec1_tfidf(spark, sf):
+    f = features(spark, sf, 1)
+    n_train = splits(spark, sf).filter(F.col("split") == "train").count()
+    terms = V.doc_terms(f, "doc_id", TEXT, 1, 2, binary=True)
+    train_ids = f.filter(F.col("split") == "train").select("doc_id")
+    vocab = V.fit_vocabulary(terms.join(train_ids, "doc_id", "left_semi"), n_train, 1, 1.0,
+                             with_index=False)
+    return f, terms, V.sklearn_idf(vocab, n_train)
+
+
+@register("vec2_tfidf_doc_summary",
+          lambda: sql("SELECT doc_id, split, CAST(count(*) AS BIGINT) AS n_terms, round(sum(value), 6) AS sum_w, "
+                      "round(sqrt(sum(value * value)), 6) AS l2 FROM w1 GROUP BY doc_id, split",
+                      _sql_sec1_tfidf()))
+def vec2(spark, sf):
+    """VEC2: binary TF-IDF of uni+bigrams, smooth idf + 1, no norm."""
+    f, terms, vidf = _sec1_tfidf(spark, sf)
+    w = V.tfidf(terms, vidf, "doc_id")
+    s = w.groupBy("doc_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_terms"),
+                                F.round(F.sum("value"), 6).alias("sum_w"),
+                                F.round(F.sqrt(F.sum(F.col("value") ** 2)), 6).alias("l2"))
+    return s.join(f.select("doc_id", "split"), "doc_id")
+
+
+@register("vec3_tfidf_norm_variants",
+          lambda: sql("SELECT doc_id, round(max(value) / sqrt(sum(value * value)), 6) AS max_l2_idf, "
+                      "round(1.0 / count(*), 6) AS max_l1_plain FROM w1 GROUP BY doc_id",
+                      _sql_sec1_tfidf()))
+def vec3(spark, sf):
+    """VEC3 search options: idf + l2 norm, and plain binary + l1 norm."""
+    _, terms, vidf = _sec1_tfidf(spark, sf)
+    l2 = V.tfidf(terms, vidf, "doc_id", use_idf=True, norm="l2").groupBy("doc_id").agg(
+        F.round(F.max("value"), 6).alias("max_l2_idf"))
+    l1 = V.tfidf(terms, vidf, "doc_id", use_idf=False, norm="l1").groupBy("doc_id").agg(
+        F.round(F.max("value"), 6).alias("max_l1_plain"))
+    return l2.join(l1, "doc_id")
+
+
+def _kw_sql():
+    vals = ", ".join(f"({T._q(k)})" for k in K.KEYWORDS)
+    anti = ", ".join(f"({T._q(k)})" for k in K.ANTI_KEYWORDS)
+    norm = T.sql_normalize_text("k", stopwords=K.portuguese_stopwords(), **P.SECTION2_TEXT)
+    tk = T.sql_tokens(norm)
+    return (f"kw AS (SELECT DISTINCT unnest({tk}) AS term FROM (VALUES {vals}) v(k)), "
+            f"akw AS (SELECT DISTINCT unnest({tk}) AS term FROM (VALUES {anti}) v(k)), "
+            "keyt AS (SELECT term FROM kw WHERE term NOT IN (SELECT term FROM akw) "
+            "AND term IN (SELECT term FROM voc))")
+
+
+@register("vec4_keyword_weighted_counts",
+          lambda: sql("SELECT tv.doc_id, CAST(count(*) AS BIGINT) AS n_terms, "
+                      "CAST(count(keyt.term) AS BIGINT) AS n_key_terms, "
+                      "round(sum(CASE WHEN keyt.term IS NULL THEN 1.0 ELSE 10.0 END), 6) AS weighted_sum "
+                      "FROM tv LEFT JOIN keyt USING (term) GROUP BY tv.doc_id",
+                      _sql_sec2(_kw_sql())))
+def vec4(spark, sf):
+    """VEC4: keyword terms (minus anti keywords, inside the vocabulary) x 10."""
+    f, terms, vocab = section2_model_terms(spark, sf)
+    norm = lambda c: T.normalize_text(c, stopwords=K.portuguese_stopwords(), **P.SECTION2_TEXT)
+    keys = V.keyword_terms(spark, K.KEYWORDS, K.ANTI_KEYWORDS, vocab, norm)
+    w = V.weighted_counts(V.restrict(terms, vocab), keys, 10.0)
+    return w.groupBy("doc_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_terms"),
+        F.count_if(F.col("value") != F.col("tf")).cast("bigint").alias("n_key_terms"),
+        F.round(F.sum("value"), 6).alias("weighted_sum"))
+
+
+_MC_COLS = ["titulo", "orgao", "ementa", "fulltext"]
+_MC_W = [10.0, 8.0, 1.5, 1.0]
+
+
+def _sql_multicol():
+    pre = P.sql_preprocess_articles(["titulo"], keep=["doc_id", "orgao", "ementa", "fulltext"],
+                                    source="base")
+    tok = T.sql_tokens
+    stacks = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS col_idx, {w} AS w, unnest(list_distinct({tok(c)})) AS term FROM pre"
+        for i, (c, w) in enumerate(zip(_MC_COLS, _MC_W)))
+    joined = " || ' ' || ".join(f"coalesce({c}, '')" for c in _MC_COLS)
+    return (f"pre AS ({pre}), "
+            f"allt AS (SELECT doc_id, unnest(list_distinct({tok('(' + joined + ')')})) AS term FROM pre), "
+            "mvoc AS (SELECT DISTINCT term FROM allt), "
+            f"per AS (SELECT * FROM ({stacks}) WHERE term IN (SELECT term FROM mvoc)), "
+            "agg AS (SELECT doc_id, term, CASE WHEN count(*) < 4 THEN greatest(max(w), 0.0) ELSE max(w) END "
+            "AS value FROM per GROUP BY doc_id, term)")
+
+
+@register("vec5_multicolumn_max",
+          lambda: sql("SELECT doc_id, CAST(count(*) AS BIGINT) AS n_terms, round(sum(value), 6) AS sum_v, "
+                      "round(max(value), 6) AS max_v FROM agg WHERE value <> 0 GROUP BY doc_id",
+                      _sql_multicol()))
+def vec5(spark, sf):
+    """VEC5: one vocabulary over four columns, each weighted, combined by max."""
+    from .common import base
+    pre = P.preprocess_articles(base(spark, sf), ["titulo"],
+                                keep=["doc_id", "orgao", "ementa", "fulltext"])
+    _, vals = V.multicolumn_counts(pre, "doc_id", _MC_COLS, _MC_W, agg="max")
+    return vals.groupBy("doc_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_terms"),
+                                      F.round(F.sum("value"), 6).alias("sum_v"),
+                                      F.round(F.max("value"), 6).alias("max_v"))
+
+
+@register("vec6_sparse_max",
+          lambda: sql(
+              "SELECT doc_id, CAST(count(*) AS BIGINT) AS n_entries, round(sum(v), 6) AS sum_v FROM ("
+              "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, greatest(coalesce(a.v, 0.0), coalesce(b.v, 0.0)) AS v "
+              "FROM (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS v FROM (SELECT doc_id, "
+              f"unnest({T.sql_tokens('lower(ementa)')}) AS term FROM base) GROUP BY doc_id, term) a "
+              "FULL OUTER JOIN (SELECT doc_id, term, -1.0 * count(*) AS v FROM (SELECT doc_id, "
+              f"unnest({T.sql_tokens('lower(fulltext)')}) AS term FROM base) GROUP BY doc_id, term) b "
+              "ON a.doc_id = b.doc_id AND a.term = b.term) WHERE v <> 0 GROUP BY doc_id"))
+def vec6(spark, sf):
+    """VEC6: element-wise max of ementa counts and minus full-text counts."""
+    from .common import base
+    b = base(spark, sf).select("doc_id", F.lower("ementa").alias("e"), F.lower("fulltext").alias("t"))
+    a = V.doc_terms(b, "doc_id", "e", binary=False).select(
+        "doc_id", "term", F.col("tf").cast("double").alias("value"))
+    c = V.doc_terms(b, "doc_id", "t", binary=False).select(
+        "doc_id", "term", (-F.col("tf").cast("double")).alias("value"))
+    m = V.sparse_max(a, c, ["doc_id", "term"])
+    return m.groupBy("doc_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_entries"),
+                                   F.round(F.sum("value"), 6).alias("sum_v"))
+
+
+@register("vec7_onehot_edition",
+          lambda: sql(f"SELECT doc_id, CASE WHEN {T.sql_edition_type('edicao')} = 'Ordinária' THEN 1.0 "
+                      "ELSE 0.0 END AS tipo_edicao_ordinaria FROM base"))
+def vec7(spark, sf):
+    """VEC7: one-hot of the edition type, first category dropped (MLlib)."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    from pyspark.ml.functions import vector_to_array
+    from .common import base
+    df = base(spark, sf).select("doc_id", T.edition_type("edicao").alias("tipo_edicao"))
+    idx = StringIndexer(inputCol="tipo_edicao", outputCol="_i", stringOrderType="alphabetDesc",
+                        handleInvalid="error").fit(df)
+    enc = OneHotEncoder(inputCol="_i", outputCol="_v", dropLast=True).fit(idx.transform(df))
+    out = enc.transform(idx.transform(df))
+    return out.select("doc_id", vector_to_array("_v").getItem(0).alias("tipo_edicao_ordinaria"))
+
+
+@register("agg13_term_in_every_doc",
+          lambda: sql("SELECT CAST((SELECT n FROM ntr) AS BIGINT) AS n_docs, CAST(max(df) AS BIGINT) AS max_df, "
+                      "max(df) >= (SELECT n FROM ntr) AS any_in_all FROM (SELECT term, count(*) AS df FROM tok "
+                      "WHERE split = 'train' GROUP BY term)", _sql_sec2()))
+def agg13(spark, sf):
+    f = features(spark, sf, 2).filter(F.col("split") == "train")
+    n = splits(spark, sf).filter(F.col("split") == "train").count()
+    return V.term_in_every_doc(V.doc_terms(f, "doc_id", TEXT), n)
+
+
+# ----------------------------------------------------------------- SIM
+
+
+def val_train_sets(spark, sf):
+    f, terms, vocab = section2_model_terms(spark, sf)
+    ranks = SIM.term_ranks(vocab)
+    tr = terms.join(f.filter(F.col("split") == "train").select("doc_id"), "doc_id", "left_semi")
+    va = terms.join(f.filter(F.col("split") == "val").select("doc_id"), "doc_id", "left_semi")
+    return f, SIM.term_sets(va, "doc_id", ranks), SIM.term_sets(tr, "doc_id", ranks)
+
+
+_SQL_PAIRS = ("pairs AS (SELECT a.doc_id AS val_id, b.doc_id AS train_id, count(*) AS ov FROM tv a "
+              "JOIN tv b ON a.term = b.term WHERE a.split = 'val' AND b.split = 'train' GROUP BY 1, 2), "
+              "sims AS (SELECT val_id, train_id, ov / sqrt(la.n * lb.n) AS sim FROM pairs "
+              "JOIN len la ON la.doc_id = val_id JOIN len lb ON lb.doc_id = train_id)")
+
+
+def nearest_train_articles(spark, sf, k=10, threshold=K.SIM_THRESHOLD):
+    f, va, tr = val_train_sets(spark, sf)
+    top = SIM.top_k_similar(va.withColumnRenamed("doc_id", "val_id"),
+                            tr.withColumnRenamed("doc_id", "train_id"),
+                            "val_id", "train_id", k, threshold)
+    lab = f.select("doc_id", "relevancia")
+    return (top.join(lab.withColumnRenamed("doc_id", "train_id")
+                     .withColumnRenamed("relevancia", "train_relevancia"), "train_id")
+            .join(lab.withColumnRenamed("doc_id", "val_id")
+                  .withColumnRenamed("relevancia", "val_relevancia"), "val_id")
+            .select("val_id", "train_id", F.col("rank").cast("int").alias("rank"),
+                    F.round("sim", 6).alias("sim"), "train_relevancia", "val_relevancia"))
+
+
+@register("sim3_nearest_train_articles",
+          lambda: sql(
+              "SELECT val_id, train_id, CAST(rnk AS INT) AS rank, round(sim, 6) AS sim, "
+              "b.relevancia AS train_relevancia, a.relevancia AS val_relevancia FROM ("
+              "SELECT *, row_number() OVER (PARTITION BY val_id ORDER BY sim DESC, train_id) AS rnk "
+              "FROM sims WHERE sim > 0.3) s JOIN splits a ON a.doc_id = s.val_id "
+              "JOIN splits b ON b.doc_id = s.train_id WHERE rnk <= 10",
+              _sql_sec2(_SQL_PAIRS)))
+def sim3(spark, sf):
+    """Flagship (TOP6 + SIM3 + JN5): for each validation article its ten most
+    similar training articles (binary cosine > 0.30) with their labels."""
+    return nearest_train_articles(spark, sf)
+
+
+@register("sim3_match_class_histogram",
+          lambda: sql("SELECT val_id, s.relevancia, CAST(count(*) AS BIGINT) AS n_matches FROM "
+                      "(SELECT val_id, train_id, relevancia FROM sims JOIN splits ON doc_id = train_id "
+                      "WHERE sim > 0.3) s GROUP BY val_id, s.relevancia",
+                      _sql_sec2(_SQL_PAIRS)))
+def sim3_hist(spark, sf):
+    """SIM3 histogram: classes of all train matches above the threshold."""
+    f, va, tr = val_train_sets(spark, sf)
+    return SIM.match_class_counts(
+        va.withColumnRenamed("doc_id", "val_id"), tr.withColumnRenamed("doc_id", "train_id"),
+        f.select(F.col("doc_id").alias("train_id"), "relevancia"),
+        "val_id", "train_id", "relevancia", K.SIM_THRESHOLD)
+
+
+@register("sim2_pair_summary",
+          lambda: sql("SELECT CAST(count(*) AS BIGINT) AS n_pairs, round(avg(sim), 6) AS mean_sim, "
+                      "CAST(count(DISTINCT val_id) AS BIGINT) AS n_val_docs FROM sims WHERE sim >= 0.3",
+                      _sql_sec2(_SQL_PAIRS)))
+def sim2(spark, sf):
+    """SIM2 train x validation similarity, summarised from set-level pairs
+    (pairs are counted through multiplicities, never expanded)."""
+    _, va, tr = val_train_sets(spark, sf)
+    tm, tu = SIM.collapse(va, "doc_id")
+    _, ru = SIM.collapse(tr, "doc_id")
+    pairs = SIM.set_pairs(ru, tu, K.SIM_THRESHOLD)
+    lm = ru.select(F.col("skey").alias("lkey"), F.col("mult").alias("lm"))
+    rm = tu.select(F.col("skey").alias("rkey"), F.col("mult").alias("rm"))
+    j = pairs.join(lm, "lkey").join(rm, "rkey")
+    per = j.groupBy("rkey", "rm").agg(F.sum("lm").alias("sl"), F.sum(F.col("lm") * F.col("sim")).alias("sls"))
+    return per.agg(F.sum(F.col("sl") * F.col("rm")).cast("bigint").alias("n_pairs"),
+                   F.round(F.sum(F.col("sls") * F.col("rm")) / F.sum(F.col("sl") * F.col("rm")), 6)
+                   .alias("mean_sim"),
+                   F.sum("rm").cast("bigint").alias("n_val_docs"))
+
+
+def _sql_sim1():
+    feat = P.sql_section_features(2, keep=["doc_id"], source="base")
+    return (f"cf AS ({feat}), "
+            f"ct AS (SELECT doc_id, unnest(list_distinct({T.sql_tokens(TEXT)})) AS term FROM cf), "
+            "cn AS (SELECT count(*) AS n FROM base), "
+            "cv AS (SELECT term FROM ct GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.7 * (SELECT n FROM cn)), "
+            "ctv AS (SELECT ct.* FROM ct JOIN cv USING (term)), "
+            "cl AS (SELECT doc_id, count(*) AS n FROM ctv GROUP BY doc_id), "
+            "cp AS (SELECT a.doc_id AS a_id, b.doc_id AS b_id, count(*) / sqrt(any_value(la.n) * any_value(lb.n)) "
+            "AS sim FROM ctv a JOIN ctv b ON a.term = b.term AND a.doc_id <> b.doc_id "
+            "JOIN cl la ON la.doc_id = a.doc_id JOIN cl lb ON lb.doc_id = b.doc_id GROUP BY 1, 2)")
+
+
+@register("sim1_neighbour_stats",
+          lambda: sql("SELECT cl.doc_id, CAST(count(cp.b_id) AS BIGINT) AS n_neighbours, round(max(cp.sim), 6) "
+                      "AS max_sim FROM cl LEFT JOIN cp ON cp.a_id = cl.doc_id AND cp.sim > 0.3 "
+                      "GROUP BY cl.doc_id", _sql_sim1()))
+def sim1(spark, sf):
+    """SIM1: self-similarity of the labelled corpus (vocabulary fitted on it):
+    number of other documents above 0.30 and the best similarity."""
+    from .common import base
+    b = base(spark, sf)
+    f = P.section_features(b, 2, keep=["doc_id"])
+    n = b.count()
+    terms = V.doc_terms(f, "doc_id", TEXT)
+    vocab = V.fit_vocabulary(terms, n, K.SECTION2_MIN_DF, K.SECTION2_MAX_DF)
+    sets = SIM.term_sets(terms, "doc_id", SIM.term_ranks(vocab))
+    st = SIM.neighbour_stats(sets, "doc_id", K.SIM_THRESHOLD)
+    return st.select("doc_id", "n_neighbours", F.round("max_sim", 6).alias("max_sim"))

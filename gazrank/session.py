@@ -59,3 +59,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the session's checkpoint dir.
+
+    Used where two branches of one plan must see the very same partitions
+    (e.g. partition-local positions and their offsets).  The data lands in
+    ``spark.checkpoint.dir`` (a shared folder on a cluster), so a lost
+    executor does not change it.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
