@@ -343,21 +343,32 @@ def sql_tokens(e: str) -> str:
     return f"regexp_extract_all({e}, {_q(R.re2(K.TOKEN_PATTERN))})"
 
 
-def _gram(tok: Column, n: int):
-    # one-argument lambda: F.transform passes (element, index) to two-argument ones
-    return lambda i: F.array_join(F.slice(tok, i + 1, n), " ")
+def _join_fields(n: int):
+    # a one-argument lambda: F.transform passes (element, index) to two-argument ones
+    return lambda s: F.concat_ws(" ", *[s[f"g{k}"] for k in range(n)])
 
 
 def ngrams(tok, n_min: int = 1, n_max: int = 1) -> Column:
-    """Word n-grams ``n_min..n_max`` over a token array, unigrams first."""
+    """Word n-grams ``n_min..n_max`` over a token array, unigrams first.
+
+    An n-gram array is built from n shifted slices of the token array
+    (``zip_with`` / ``arrays_zip``): the token array is an argument, never
+    referenced inside a lambda, so it is evaluated once per row rather than
+    once per position.
+    """
     tok = _c(tok)
     out = None
     for n in range(n_min, n_max + 1):
         if n == 1:
             g = tok
         else:
-            g = F.transform(F.sequence(F.lit(0), F.size(tok) - n), _gram(tok, n))
-            g = F.when(F.size(tok) >= n, g).otherwise(F.array().cast("array<string>"))
+            m = F.greatest(F.size(tok) - (n - 1), F.lit(0))
+            parts = [F.slice(tok, k + 1, m) for k in range(n)]
+            if n == 2:
+                g = F.zip_with(parts[0], parts[1], lambda a, b: F.concat(a, F.lit(" "), b))
+            else:
+                z = F.arrays_zip(*[p.alias(f"g{k}") for k, p in enumerate(parts)])
+                g = F.transform(z, _join_fields(n))
         out = g if out is None else F.concat(out, g)
     return out
 

@@ -1 +1,349 @@
-"""Registered queries."""
+"""Registered queries: models, clustering, evaluation and tuning (MOD*, EVA*,
+SPL9, SPL10, SNK2, SRC3).
+
+Model fits are randomised or iterative, so most entries are rows-only
+checks (no SQL oracle); the properties are tested in ``tests/``.  Entries
+over deterministic inputs (voting mean, constant baseline, evaluator) have
+oracles.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.sql import functions as F
+
+from .. import constants as K
+from ..ml import cluster as CL
+from ..ml import models as M
+from ..ml import tuning as TU
+from ..ml.stages import RidgeRegression
+from ..operators import ranking as RK
+from ..sources import io as IO
+from ..sources import tables
+from .common import SQL_SCORE, articles, score, splits, sql
+from .registry import register
+
+
+def _parts(spark, sf):
+    s = splits(spark, sf)
+    return (s, s.filter(F.col("split") == "train"), s.filter(F.col("split") == "val"),
+            s.filter(F.col("split") == "test"))
+
+
+def _split_scores(pred):
+    r = pred.groupBy("split").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"),
+        F.round(F.sqrt(F.avg(F.pow(F.col("relevancia") - F.col("prediction"), 2))), 6).alias("rmse"))
+    cr = RK.cum_recall_metric(pred, score="prediction", group=["split"]).select(
+        "split", F.round("cum_recall", 6).alias("cum_recall"))
+    return r.join(cr, "split")
+
+
+@register("mod1_ridge_section1_predictions")
+def mod1(spark, sf):
+    """MOD1/MOD4: section-1 pipeline (binary TF-IDF uni+bigrams, ridge 10000)
+    fitted on train, predictions for validation and test."""
+    s, tr, va, te = _parts(spark, sf)
+    m = M.fit_cached(M.section1_model(), tr)
+    return m.transform(va.unionByName(te)).select("doc_id", "split", "relevancia",
+                                                 F.round("prediction", 6).alias("prediction"))
+
+
+@register("mod4_section1_split_scores")
+def mod4(spark, sf):
+    """EVA11 for MOD4: RMSE and cumulative recall per split."""
+    s, tr, _, _ = _parts(spark, sf)
+    return _split_scores(M.fit_cached(M.section1_model(), tr).transform(s))
+
+
+@register("mod5_section2_split_scores")
+def mod5(spark, sf):
+    """EVA11 for MOD5: vote of ridge(30) and the forest, per split."""
+    s, tr, _, _ = _parts(spark, sf)
+    return _split_scores(M.fit_cached(M.section2_model(), tr).transform(s))
+
+
+@register("mod2_forest_predictions")
+def mod2(spark, sf):
+    """MOD2: the forest alone on the section-2 features."""
+    s, tr, va, _ = _parts(spark, sf)
+    p = M.fit_cached(Pipeline(stages=M.feature_stages(2) + [M.forest()]), tr)
+    return p.transform(va).select("doc_id", "relevancia", F.round("prediction", 6).alias("prediction"))
+
+
+@register("mod6_weighted_section2_scores")
+def mod6(spark, sf):
+    """MOD6: section-2 model with instance weight = label."""
+    s, tr, _, _ = _parts(spark, sf)
+    w = "w"
+    m = M.fit_cached(M.section2_model(weight_col=w), tr.withColumn(w, M.relevance_weight()))
+    return _split_scores(m.transform(s.withColumn(w, M.relevance_weight())))
+
+
+_P2 = "(relevancia * 0.8 + 0.5)"
+
+
+@register("mod3_voting_mean",
+          lambda: sql(f"SELECT doc_id, round(({SQL_SCORE} + {_P2}) / 2.0, 6) AS prediction FROM splits"))
+def mod3(spark, sf):
+    """MOD3 on given member predictions: the vote is their mean."""
+    s = splits(spark, sf).select("doc_id", score().alias("p_vote_0"),
+                                 (F.col("relevancia") * 0.8 + 0.5).alias("p_vote_1"))
+    vote = SQLTransformer(statement="SELECT *, (p_vote_0 + p_vote_1) / 2.0 AS prediction FROM __THIS__")
+    return vote.transform(s).select("doc_id", F.round("prediction", 6).alias("prediction"))
+
+
+@register("mod7_constant_baseline",
+          lambda: sql("SELECT doc_id, CAST((SELECT relevancia FROM splits WHERE split = 'train' "
+                      "GROUP BY relevancia ORDER BY count(*) DESC, relevancia LIMIT 1) AS DOUBLE) AS prediction "
+                      "FROM splits WHERE split = 'val'"))
+def mod7(spark, sf):
+    """MOD7: constant predictor = most frequent train label (smallest on ties)."""
+    s, tr, va, _ = _parts(spark, sf)
+    return M.constant_predictor(va, M.mode_of(tr)).select("doc_id", "prediction")
+
+
+@register("mod8_random_baselines")
+def mod8(spark, sf):
+    """MOD8: uniform and frequency-following random predictors."""
+    s, tr, va, _ = _parts(spark, sf)
+    u = M.random_predictor(tr, va, seed=1).select("doc_id", F.col("prediction").alias("uniform"))
+    f = M.random_predictor(tr, va, follow_frequency=True, seed=2).select(
+        "doc_id", F.col("prediction").alias("frequency"))
+    return u.join(f, "doc_id")
+
+
+@register("mod9_best_baseline")
+def mod9(spark, sf):
+    """MOD9: constant / uniform / frequency baselines by 5-fold CV RMSE."""
+    _, tr, _, _ = _parts(spark, sf)
+    return TU.baseline_random(tr, k=5)
+
+
+@register("mod11_naive_bayes_combination")
+def mod11(spark, sf):
+    """MOD11: multinomial NB on word counts x Gaussian NB on numeric
+    features, combined through their log posteriors."""
+    s, tr, va, _ = _parts(spark, sf)
+    feats = M.fit_cached(Pipeline(stages=M.feature_stages(2)), tr)
+    prep = lambda d: feats.transform(d).withColumn(
+        "y", F.col("relevancia").isin(*K.RELEVANT_LABELS).cast("double")).withColumn(
+        "len_log", F.log10(1 + F.length("fulltext").cast("double"))).withColumn(
+        "n_lev", F.size(F.split(F.coalesce("orgao", F.lit("")), "/")).cast("double"))
+    ftr, fva = prep(tr), prep(va)
+    num = VectorAssembler(inputCols=["len_log", "n_lev"], outputCol="num")
+    ftr, fva = num.transform(ftr), num.transform(fva)
+    nb1 = NaiveBayes(featuresCol="tf", labelCol="y", modelType="multinomial",
+                     rawPredictionCol="raw1", probabilityCol="pr1", predictionCol="pd1").fit(ftr)
+    nb2 = NaiveBayes(featuresCol="num", labelCol="y", modelType="gaussian",
+                     rawPredictionCol="raw2", probabilityCol="pr2", predictionCol="pd2").fit(ftr)
+    out = nb2.transform(nb1.transform(fva))
+    prior = list(nb1.pi.toArray())
+    comb = M.combine_naive_bayes(out, "raw1", "raw2", prior)
+    return comb.select("doc_id", "relevancia", "prediction")
+
+
+@register("mod12_prediction_as_feature")
+def mod12(spark, sf):
+    """MOD12: the ridge prediction used as a feature of a forest."""
+    s, tr, va, _ = _parts(spark, sf)
+    stages = M.feature_stages(2) + [
+        RidgeRegression(alpha=K.SECTION2_RIDGE_ALPHA, predictionCol="ridge_pred"),
+        VectorAssembler(inputCols=["ridge_pred", "tipo_vec"], outputCol="stack"),
+        M.forest().setFeaturesCol("stack").setMaxDepth(5)]
+    return M.fit_cached(Pipeline(stages=stages), tr).transform(va).select(
+        "doc_id", F.round("ridge_pred", 6).alias("ridge_pred"), F.round("prediction", 6).alias("prediction"))
+
+
+def _pool_features(spark, sf):
+    """Unlabelled pool with section-2 features (vocabulary fitted on it)."""
+    pool = tables.pool(articles(spark, sf)).filter(F.col("fulltext").isNotNull())
+    fm = M.fit_cached(Pipeline(stages=M.feature_stages(2)), pool)
+    return fm.transform(pool).select("doc_id", "features").persist()
+
+
+@register("mod13_kmeans_pool")
+def mod13(spark, sf):
+    """MOD13: k-means (k = 100) on the unlabelled pool; each document's
+    cluster and its distance to every centre, reduced to the nearest."""
+    f = _pool_features(spark, sf)
+    km = CL.fit_kmeans(f, K.KMEANS_K)
+    d = CL.centre_distances(spark, f, km)
+    own = km.transform(f).select("doc_id", F.col("cluster").alias("centre"))
+    return own.join(d, ["doc_id", "centre"]).select("doc_id", F.col("centre").alias("cluster"),
+                                                   F.round("distance", 6).alias("distance"))
+
+
+@register("mod14_cluster_representatives")
+def mod14(spark, sf):
+    """MOD14: per centre, the nearest pool document (over all documents)."""
+    f = _pool_features(spark, sf)
+    km = CL.fit_kmeans(f, K.KMEANS_K)
+    return CL.representatives(CL.centre_distances(spark, f, km)).select(
+        "centre", "doc_id", F.round("distance", 6).alias("distance"))
+
+
+@register("mod15_cluster_profile")
+def mod15(spark, sf):
+    """MOD15: centre vs mean member vector of the largest cluster."""
+    f = _pool_features(spark, sf)
+    km = CL.fit_kmeans(f, K.KMEANS_K)
+    sizes = km.summary.clusterSizes
+    big = max(range(len(sizes)), key=lambda i: (sizes[i], -i))
+    return CL.member_profile(f, km, big)
+
+
+@register("mod10_bagged_kmeans_vote")
+def mod10(spark, sf):
+    """MOD10: bagged k-means members with a hard vote."""
+    return CL.bagged_kmeans_vote(_pool_features(spark, sf), n_estimators=4, k=5)
+
+
+@register("mod16_token_weights")
+def mod16(spark, sf):
+    """MOD16: vocabulary x ridge coefficient x forest importance."""
+    _, tr, _, _ = _parts(spark, sf)
+    m = M.fit_cached(M.section2_model(), tr)
+    return M.token_weights(m, spark)
+
+
+@register("mod17_alternative_regressors")
+def mod17(spark, sf):
+    """MOD17: elastic net, Huber and a decision tree on section-2 features."""
+    s, tr, va, _ = _parts(spark, sf)
+    fm = M.fit_cached(Pipeline(stages=M.feature_stages(2)), tr)
+    ftr, fva = fm.transform(tr), fm.transform(va)
+    rows = []
+    for kind, a in (("elasticnet", 0.023), ("huber", 0.01), ("tree", 0.0)):
+        m = M.alternative_regressor(kind, alpha=a).fit(ftr)
+        rows.append((kind, TU.rmse(m.transform(fva))))
+    return spark.createDataFrame(rows, "model string, val_rmse double")
+
+
+# ---------------------------------------------------------------- EVA
+
+
+@register("eva1_cv_rmse")
+def eva1(spark, sf):
+    """EVA1-EVA3: 5-fold CV RMSE on held-out folds, on training folds and
+    with permuted labels (mean and population std)."""
+    _, tr, _, _ = _parts(spark, sf)
+    pipe = M.section1_model()
+    rows = []
+    for name, kw in (("held_out", {}), ("train", {"on_train": True}), ("permuted", {"permute_seed": 7})):
+        mu, sd = TU.mean_std(TU.cv_scores(pipe, tr, k=5, **kw))
+        rows.append((name, mu, sd))
+    return spark.createDataFrame(rows, "kind string, mean_rmse double, std_rmse double")
+
+
+@register("eva4_oof_predictions")
+def eva4(spark, sf):
+    """EVA4: out-of-fold predictions (shuffle seed 3911); each id once."""
+    _, tr, _, _ = _parts(spark, sf)
+    return TU.cross_val_predict(M.section2_model(), tr, k=5)
+
+
+@register("eva5_learning_curve")
+def eva5(spark, sf):
+    """EVA5: nested training prefixes, cumulative recall on train / val."""
+    _, tr, va, _ = _parts(spark, sf)
+    return TU.learning_curve(M.section1_model(), tr, va, steps=5)
+
+
+@register("eva6_cv_learning_curve")
+def eva6(spark, sf):
+    """EVA6: CV score per training fraction."""
+    _, tr, _, _ = _parts(spark, sf)
+    return TU.cv_learning_curve(M.section1_model(), tr, fractions=(0.3, 0.65, 1.0), k=3)
+
+
+_GRID_CACHE: dict = {}
+
+
+def grid_results(spark, sf):
+    """EVA7 results (72 candidates), computed once per scale directory."""
+    key = (sf, "grid")
+    if key not in _GRID_CACHE:
+        _, tr, va, _ = _parts(spark, sf)
+        res = TU.search_fixed_split(spark, tr, va, TU.grid(TU.SECTION1_GRID), section=1)
+        _GRID_CACHE[key] = [tuple(r) for r in res.collect()]
+        _GRID_CACHE[(sf, "schema")] = res.schema
+    return spark.createDataFrame(_GRID_CACHE[key], _GRID_CACHE[(sf, "schema")])
+
+
+@register("eva7_grid_search")
+def eva7(spark, sf):
+    """EVA7: 6 alphas x binary x idf x 3 norms on the fixed validation split."""
+    return grid_results(spark, sf)
+
+
+@register("eva9_search_table")
+def eva9(spark, sf):
+    """EVA9 + TOP5: search results, best first, top 10."""
+    return TU.search_table(grid_results(spark, sf)).limit(10)
+
+
+@register("eva10_param_slices")
+def eva10(spark, sf):
+    """EVA10: per parameter, candidates with all other parameters at best."""
+    return TU.best_param_slices(grid_results(spark, sf),
+                                ["param_alpha", "param_binary", "param_use_idf", "param_norm"])
+
+
+@register("eva8_random_search")
+def eva8(spark, sf):
+    """EVA8: random search (100 draws of an empty section-2 grid = the
+    default candidate)."""
+    _, tr, va, _ = _parts(spark, sf)
+    cands = TU.random_candidates({"alpha": [K.SECTION2_RIDGE_ALPHA], "binary": [True],
+                                  "use_idf": [False], "norm": [None]}, 100)
+    return TU.search_fixed_split(spark, tr, va, cands, section=2)
+
+
+@register("eva12_cum_recall_evaluator",
+          lambda: sql("SELECT round((s / (r * n) - 0.5) / (sp / (r * n) - 0.5), 6) AS cum_recall FROM "
+                      "(SELECT count(*) AS n, count_if(relevancia IN (4, 5)) AS r, "
+                      "sum(CASE WHEN relevancia IN (4, 5) THEN n0 - pos + 1 END) AS s, "
+                      "sum(CASE WHEN relevancia IN (4, 5) THEN n0 - ppos + 1 END) AS sp FROM "
+                      "(SELECT relevancia, count(*) OVER () AS n0, "
+                      "row_number() OVER (ORDER BY score DESC, doc_id) AS pos, "
+                      "row_number() OVER (ORDER BY relevancia DESC, doc_id) AS ppos FROM scored "
+                      "WHERE split = 'val'))"))
+def eva12(spark, sf):
+    """EVA12: the evaluator on a deterministic score of the validation split."""
+    va = splits(spark, sf).filter(F.col("split") == "val").withColumn("prediction", score())
+    v = TU.CumRecallEvaluator().evaluate(va)
+    return spark.createDataFrame([(round(v, 6),)], "cum_recall double")
+
+
+@register("spl9_bootstrap_trials")
+def spl9(spark, sf):
+    """SPL9: class-rebalanced weighted bootstrap, 10 trials, on the
+    deterministic score of the validation split."""
+    from .q_relational import class_weights
+    val, w = class_weights(spark, sf)
+    pred = val.withColumn("prediction", score())
+    return TU.bootstrap_metrics(pred, w, trials=K.BOOTSTRAP_TRIALS, seed=42)
+
+
+@register("spl10_bag_samples")
+def spl10(spark, sf):
+    """SPL10: bootstrap subsample sizes of 4 bagging members (seed + i)."""
+    _, tr, _, _ = _parts(spark, sf)
+    rows = [(i, s.count()) for i, s in enumerate(TU.bag_samples(tr, 4, 0.7, 42))]
+    return spark.createDataFrame(rows, "member int, n_rows long")
+
+
+@register("snk2_src3_model_bundle")
+def bundle(spark, sf):
+    """SNK2 + SRC3: save a model bundle (models, samples, params, scores),
+    load the tested model back and score the test split."""
+    s, tr, va, te = _parts(spark, sf)
+    m = M.fit_cached(M.section2_model(), tr)
+    ev = TU.CumRecallEvaluator()
+    d = IO.scratch_dir(spark, "bundle")
+    IO.save_bundle(d, m, None, tr, te, "cum_recall", ev.evaluate(m.transform(tr)),
+                   ev.evaluate(m.transform(te)), val_df=va)
+    return IO.load_and_score(spark, d, te).select("doc_id", F.round("prediction", 6).alias("prediction"))
