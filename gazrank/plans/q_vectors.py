@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import preprocess as P
 from ..operators import similarity as SIM
 from ..operators import vectorize as V
+from ..session import materialize
 from .common import splits, sql
 from .registry import register
 
@@ -22,14 +23,21 @@ def features(spark, sf, section=2):
 
 
 def section2_model_terms(spark, sf):
-    """Train vocabulary (df 2 .. 0.7) and binary terms of every split."""
+    """Train vocabulary (df 2 .. 0.7) and binary terms of every split.
+
+    The normaliser (dozens of regex passes over whole texts) is the costly
+    step, and vocabulary, train sets and validation sets all read its
+    output, so the long-form ``(doc_id, split, term)`` table is written once
+    (checkpoint) and shared; it is much smaller than the texts.
+    """
     f = features(spark, sf, 2)
     n_train = splits(spark, sf).filter(F.col("split") == "train").count()
-    terms = V.doc_terms(f, "doc_id", TEXT)
-    train_ids = f.filter(F.col("split") == "train").select("doc_id")
-    vocab = V.fit_vocabulary(terms.join(train_ids, "doc_id", "left_semi"), n_train,
+    grams = T.ngrams(T.tokens(TEXT), 1, 1)
+    terms = materialize(f.select("doc_id", "split", F.explode(F.array_distinct(grams)).alias("term"))
+                        .withColumn("tf", F.lit(1).cast("long")))
+    vocab = V.fit_vocabulary(terms.filter(F.col("split") == "train"), n_train,
                              K.SECTION2_MIN_DF, K.SECTION2_MAX_DF)
-    return f, terms, vocab
+    return f, terms.drop("split"), vocab
 
 
 def _sql_sec2(extra=""):
@@ -247,8 +255,9 @@ def agg13(spark, sf):
 def val_train_sets(spark, sf):
     f, terms, vocab = section2_model_terms(spark, sf)
     ranks = SIM.term_ranks(vocab)
-    tr = terms.join(f.filter(F.col("split") == "train").select("doc_id"), "doc_id", "left_semi")
-    va = terms.join(f.filter(F.col("split") == "val").select("doc_id"), "doc_id", "left_semi")
+    ids = splits(spark, sf).select("doc_id", "split")
+    tr = terms.join(ids.filter(F.col("split") == "train").select("doc_id"), "doc_id", "left_semi")
+    va = terms.join(ids.filter(F.col("split") == "val").select("doc_id"), "doc_id", "left_semi")
     return f, SIM.term_sets(va, "doc_id", ranks), SIM.term_sets(tr, "doc_id", ranks)
 
 
