@@ -164,3 +164,23 @@ def mean_vector(terms: DataFrame, n_docs: int) -> DataFrame:
     """SIM1 per-term mean of the binary matrix: ``df / N``."""
     return terms.groupBy("term").agg((F.count(F.lit(1)) / F.lit(float(n_docs))).alias("mean"))
 
+
+
+def stem_terms(terms: DataFrame, stemmer) -> DataFrame:
+    """TXT10 / EXT3: pluggable stemmer (any object with ``.stem(word)``).
+
+    The stemmer runs once per *distinct* term, in an Arrow-batched pandas
+    UDF, and the result is joined back; texts are never stemmed row by row.
+    ``stemmer=None`` (every configured pipeline) is the identity.
+    """
+    if stemmer is None:
+        return terms
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def _stem(s: pd.Series) -> pd.Series:
+        return s.map(stemmer.stem)
+
+    distinct = terms.select("term").distinct()
+    mapping = distinct.withColumn("stem", _stem(F.col("term")))
+    return (terms.join(mapping, "term").drop("term").withColumnRenamed("stem", "term"))

@@ -82,3 +82,15 @@ def test_hard_vote_ties_smallest(spark):
     df = spark.createDataFrame([(1, 3), (1, 2), (2, 4), (2, 4), (2, 1)], "id int, label int")
     got = {r["id"]: r["vote"] for r in hard_vote(df, "id").collect()}
     assert got == {1: 2, 2: 4}
+
+
+class _SuffixStemmer:
+    def stem(self, w):
+        return w[:-1] if w.endswith("s") else w
+
+
+def test_stemmer_hook(spark):
+    df = spark.createDataFrame([(1, "cargos"), (1, "cargo"), (2, "atos")], "doc_id int, term string")
+    got = sorted((r["doc_id"], r["term"]) for r in V.stem_terms(df, _SuffixStemmer()).collect())
+    assert got == [(1, "cargo"), (1, "cargo"), (2, "ato")]
+    assert V.stem_terms(df, None) is df
