@@ -249,8 +249,8 @@ def top2(spark, sf):
 def term_weights(spark, sf):
     """Deterministic token weight: mean label of train documents holding the
     term minus the train mean (a stand-in for model coefficients)."""
-    f, terms, vocab = section2_model_terms(spark, sf)
-    tr = f.filter(F.col("split") == "train").select("doc_id", "relevancia")
+    docs, terms, vocab = section2_model_terms(spark, sf)
+    tr = docs.filter(F.col("split") == "train").select("doc_id", "relevancia")
     mean = tr.agg(F.avg("relevancia")).first()[0]
     j = V.restrict(terms, vocab).join(tr, "doc_id")
     return j.groupBy("term").agg((F.avg("relevancia") - F.lit(mean)).alias("weight")).withColumn(

@@ -22,22 +22,31 @@ def features(spark, sf, section=2):
     return P.section_features(splits(spark, sf), section, keep=["doc_id", "relevancia", "split"])
 
 
-def section2_model_terms(spark, sf):
-    """Train vocabulary (df 2 .. 0.7) and binary terms of every split.
+def _doc_table(f, n_max: int = 1):
+    """One row per document: ``(doc_id, split, relevancia, terms)``.
 
     The normaliser (dozens of regex passes over whole texts) is the costly
-    step, and vocabulary, train sets and validation sets all read its
-    output, so the long-form ``(doc_id, split, term)`` table is written once
-    (checkpoint) and shared; it is much smaller than the texts.
+    step; its result is reduced to the distinct terms of each document and
+    written once (checkpoint).  Vocabulary, train sets, validation sets and
+    document counts then read this table instead of the texts.
     """
-    f = features(spark, sf, 2)
-    n_train = splits(spark, sf).filter(F.col("split") == "train").count()
-    grams = T.ngrams(T.tokens(TEXT), 1, 1)
-    terms = materialize(f.select("doc_id", "split", F.explode(F.array_distinct(grams)).alias("term"))
-                        .withColumn("tf", F.lit(1).cast("long")))
+    grams = F.array_distinct(T.ngrams(T.tokens(TEXT), 1, n_max))
+    return materialize(f.select("doc_id", "split", "relevancia", grams.alias("terms")))
+
+
+def _explode(docs):
+    return (docs.select("doc_id", "split", F.explode("terms").alias("term"))
+            .withColumn("tf", F.lit(1).cast("long")))
+
+
+def section2_model_terms(spark, sf):
+    """Train vocabulary (df 2 .. 0.7) and binary terms of every split."""
+    docs = _doc_table(features(spark, sf, 2))
+    n_train = docs.filter(F.col("split") == "train").count()
+    terms = _explode(docs)
     vocab = V.fit_vocabulary(terms.filter(F.col("split") == "train"), n_train,
                              K.SECTION2_MIN_DF, K.SECTION2_MAX_DF)
-    return f, terms.drop("split"), vocab
+    return docs, terms, vocab
 
 
 def _sql_sec2(extra=""):
@@ -100,13 +109,12 @@ def _sql_sec1_tfidf(extra=""):
 
 
 def _sec1_tfidf(spark, sf):
-    f = features(spark, sf, 1)
-    n_train = splits(spark, sf).filter(F.col("split") == "train").count()
-    terms = V.doc_terms(f, "doc_id", TEXT, 1, 2, binary=True)
-    train_ids = f.filter(F.col("split") == "train").select("doc_id")
-    vocab = V.fit_vocabulary(terms.join(train_ids, "doc_id", "left_semi"), n_train, 1, 1.0,
+    docs = _doc_table(features(spark, sf, 1), n_max=2)
+    n_train = docs.filter(F.col("split") == "train").count()
+    terms = _explode(docs)
+    vocab = V.fit_vocabulary(terms.filter(F.col("split") == "train"), n_train, 1, 1.0,
                              with_index=False)
-    return f, terms, V.sklearn_idf(vocab, n_train)
+    return docs, terms, V.sklearn_idf(vocab, n_train)
 
 
 @register("vec2_tfidf_doc_summary",
@@ -244,21 +252,20 @@ def vec7(spark, sf):
                       "max(df) >= (SELECT n FROM ntr) AS any_in_all FROM (SELECT term, count(*) AS df FROM tok "
                       "WHERE split = 'train' GROUP BY term)", _sql_sec2()))
 def agg13(spark, sf):
-    f = features(spark, sf, 2).filter(F.col("split") == "train")
-    n = splits(spark, sf).filter(F.col("split") == "train").count()
-    return V.term_in_every_doc(V.doc_terms(f, "doc_id", TEXT), n)
+    docs, terms, _ = section2_model_terms(spark, sf)
+    n = docs.filter(F.col("split") == "train").count()
+    return V.term_in_every_doc(terms.filter(F.col("split") == "train"), n)
 
 
 # ----------------------------------------------------------------- SIM
 
 
 def val_train_sets(spark, sf):
-    f, terms, vocab = section2_model_terms(spark, sf)
+    docs, terms, vocab = section2_model_terms(spark, sf)
     ranks = SIM.term_ranks(vocab)
-    ids = splits(spark, sf).select("doc_id", "split")
-    tr = terms.join(ids.filter(F.col("split") == "train").select("doc_id"), "doc_id", "left_semi")
-    va = terms.join(ids.filter(F.col("split") == "val").select("doc_id"), "doc_id", "left_semi")
-    return f, SIM.term_sets(va, "doc_id", ranks), SIM.term_sets(tr, "doc_id", ranks)
+    tr = terms.filter(F.col("split") == "train")
+    va = terms.filter(F.col("split") == "val")
+    return docs, SIM.term_sets(va, "doc_id", ranks), SIM.term_sets(tr, "doc_id", ranks)
 
 
 _SQL_PAIRS = ("pairs AS (SELECT a.doc_id AS val_id, b.doc_id AS train_id, count(*) AS ov FROM tv a "
