@@ -216,3 +216,13 @@ def hard_vote(labels: DataFrame, id_col: str, label: str = "label") -> DataFrame
     w = Window.partitionBy(id_col).orderBy(F.col("_n").desc(), F.col(label).asc())
     return (c.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
             .select(id_col, F.col(label).alias("vote")))
+
+
+def column_selector(columns: list[str], make_stage=None, output_col: str = "features") -> list:
+    """PRJ5: one stage per column (``make_stage(col) -> stage`` writing
+    ``<col>_vec``), or the columns passed through as they are, assembled
+    into one vector."""
+    if make_stage is None:
+        return [VectorAssembler(inputCols=list(columns), outputCol=output_col)]
+    stages = [make_stage(c) for c in columns]
+    return stages + [VectorAssembler(inputCols=[f"{c}_vec" for c in columns], outputCol=output_col)]

@@ -94,3 +94,11 @@ def test_stemmer_hook(spark):
     got = sorted((r["doc_id"], r["term"]) for r in V.stem_terms(df, _SuffixStemmer()).collect())
     assert got == [(1, "cargo"), (1, "cargo"), (2, "ato")]
     assert V.stem_terms(df, None) is df
+
+
+def test_column_selector_passthrough(spark):
+    from pyspark.ml import Pipeline
+    from gazrank.ml.models import column_selector
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "a double, b double")
+    out = Pipeline(stages=column_selector(["a", "b"])).fit(df).transform(df)
+    assert [list(r["features"]) for r in out.collect()] == [[1.0, 2.0], [3.0, 4.0]]
