@@ -177,10 +177,13 @@ def stem_terms(terms: DataFrame, stemmer) -> DataFrame:
         return terms
     import pandas as pd
 
-    @F.pandas_udf("string")
-    def _stem(s: pd.Series) -> pd.Series:
+    def _stem_batch(s):
         return s.map(stemmer.stem)
 
+    # real annotation objects (this module uses postponed annotations)
+    _stem_batch.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    _stem = F.pandas_udf(_stem_batch, "string")
+
     distinct = terms.select("term").distinct()
     mapping = distinct.withColumn("stem", _stem(F.col("term")))
     return (terms.join(mapping, "term").drop("term").withColumnRenamed("stem", "term"))
