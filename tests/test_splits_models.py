@@ -84,12 +84,11 @@ def test_hard_vote_ties_smallest(spark):
     assert got == {1: 2, 2: 4}
 
 
-class _SuffixStemmer:
-    def stem(self, w):
-        return w[:-1] if w.endswith("s") else w
-
-
 def test_stemmer_hook(spark):
+    class _SuffixStemmer:  # local: shipped to the Python workers by value
+        def stem(self, w):
+            return w[:-1] if w.endswith("s") else w
+
     df = spark.createDataFrame([(1, "cargos"), (1, "cargo"), (2, "atos")], "doc_id int, term string")
     got = sorted((r["doc_id"], r["term"]) for r in V.stem_terms(df, _SuffixStemmer()).collect())
     assert got == [(1, "cargo"), (1, "cargo"), (2, "ato")]
