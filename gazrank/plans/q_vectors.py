@@ -357,11 +357,9 @@ def _sql_sim1():
 def sim1(spark, sf):
     """SIM1: self-similarity of the labelled corpus (vocabulary fitted on it):
     number of other documents above 0.30 and the best similarity."""
-    from .common import base
-    b = base(spark, sf)
-    f = P.section_features(b, 2, keep=["doc_id"])
-    n = b.count()
-    terms = V.doc_terms(f, "doc_id", TEXT)
+    docs = _doc_table(features(spark, sf, 2))
+    n = docs.count()
+    terms = _explode(docs)
     vocab = V.fit_vocabulary(terms, n, K.SECTION2_MIN_DF, K.SECTION2_MAX_DF)
     sets = SIM.term_sets(terms, "doc_id", SIM.term_ranks(vocab))
     st = SIM.neighbour_stats(sets, "doc_id", K.SIM_THRESHOLD)
