@@ -91,7 +91,10 @@ def forest(prediction_col: str = "prediction", seed: int = 42, weight_col: str |
     rf = RandomForestRegressor(featuresCol="features", labelCol="relevancia",
                                predictionCol=prediction_col, numTrees=K.FOREST_TREES,
                                maxDepth=K.FOREST_DEPTH, subsamplingRate=K.FOREST_SUBSAMPLE,
-                               featureSubsetStrategy="all", minInstancesPerNode=1, seed=seed)
+                               featureSubsetStrategy="all", minInstancesPerNode=1, seed=seed,
+                               # execution settings only: more nodes split per data pass, node ids
+                               # cached for deep trees (checkpointed every 10 iterations)
+                               maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
     if weight_col:
         rf.setWeightCol(weight_col)
     return rf
