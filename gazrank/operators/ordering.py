@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..session import materialize, shuffle_partitions
 
 _LOW_BITS = (1 << 33) - 1
+_MAX_RANGES = 1 << 16
 
 
 def _sort_cols(order: list) -> list[Column]:
@@ -46,7 +47,9 @@ def with_position(df: DataFrame, order: list, group: list[str] | None = None,
     group = list(group or [])
     sums = list(sums or [])
     spark = df.sparkSession
-    p = partitions or shuffle_partitions(spark)
+    # at least as many ranges as the input has partitions (its file splits
+    # follow the data size), capped so the offsets table stays small
+    p = partitions or min(max(shuffle_partitions(spark), df.rdd.getNumPartitions()), _MAX_RANGES)
     keys = [F.col(g).asc_nulls_first() for g in group] + _sort_cols(order)
     # Materialised once: range bounds come from sampling, and two
     # re-executions may sample differently, so both uses below must read
