@@ -10,7 +10,7 @@ Their ``transform`` is built from the column expressions of
 from __future__ import annotations
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml import Estimator, Transformer
 from pyspark.ml.feature import ElementwiseProduct, IDF
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.param import Param, Params, TypeConverters
