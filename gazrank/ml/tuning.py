@@ -178,7 +178,7 @@ SECTION1_GRID = {"alpha": K.SECTION1_ALPHA_GRID, "binary": [True, False], "use_i
 
 
 def search_fixed_split(spark: SparkSession, train: DataFrame, val: DataFrame, candidates: list[dict],
-                       section: int = 1, parallelism: int = 4) -> DataFrame:
+                       section: int = 1, parallelism: int = 8) -> DataFrame:
     """EVA7/EVA8: every candidate fitted on ``train`` and scored (cumulative
     recall) on the fixed ``val`` split and on ``train``.
 
@@ -195,26 +195,31 @@ def search_fixed_split(spark: SparkSession, train: DataFrame, val: DataFrame, ca
     by_vec: dict = {}
     for c in candidates:
         by_vec.setdefault((c["binary"], c["use_idf"], c["norm"]), []).append(c)
-    rows = []
+    cached = []
+    jobs = []
     try:
+        # features once per vectorizer setting, then every ridge fit in one pool
         for (binary, use_idf, norm), cands in by_vec.items():
             fs = feature_stages(section, binary=binary, use_idf=use_idf, norm=norm)[3:]
             fm = Pipeline(stages=fs).fit(tr)
             ftr = fm.transform(tr).select("doc_id", "relevancia", "features").persist()
             fva = fm.transform(va).select("doc_id", "relevancia", "features").persist()
+            cached += [ftr, fva]
+            jobs += [(c, ftr, fva) for c in cands]
+
+        def one(job):
+            c, ftr, fva = job
+            t0 = time.time()
+            m = RidgeRegression(alpha=c["alpha"]).fit(ftr)
+            fit_t = time.time() - t0
+            return (float(c["alpha"]), bool(c["binary"]), bool(c["use_idf"]), str(c["norm"]),
+                    ev.evaluate(m.transform(fva)), ev.evaluate(m.transform(ftr)), fit_t)
 
-            def one(c, ftr=ftr, fva=fva):
-                t0 = time.time()
-                m = RidgeRegression(alpha=c["alpha"]).fit(ftr)
-                fit_t = time.time() - t0
-                return (float(c["alpha"]), bool(c["binary"]), bool(c["use_idf"]), str(c["norm"]),
-                        ev.evaluate(m.transform(fva)), ev.evaluate(m.transform(ftr)), fit_t)
-
-            with ThreadPoolExecutor(parallelism) as ex:
-                rows += list(ex.map(one, cands))
-            ftr.unpersist()
-            fva.unpersist()
+        with ThreadPoolExecutor(parallelism) as ex:
+            rows = list(ex.map(one, jobs))
     finally:
+        for d in cached:
+            d.unpersist()
         tr.unpersist()
         va.unpersist()
     schema = ("param_alpha double, param_binary boolean, param_use_idf boolean, param_norm string, "
