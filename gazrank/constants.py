@@ -9,11 +9,6 @@ to the Java (Spark) and RE2 (DuckDB oracle) dialects.
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-from functools import lru_cache
-
 # --------------------------------------------------------------------------
 # FIXED VALUES (do not edit)
 # --------------------------------------------------------------------------
@@ -203,27 +198,35 @@ KEYWORDS = [
 ]
 ANTI_KEYWORDS = ["cargo"]
 
+# Portuguese stop words: Spark's public list for StopWordsRemover, in its order, plus "é".
+PORTUGUESE_STOPWORDS = [
+    "de", "a", "o", "que", "e", "do", "da", "em", "um", "para", "com", "não", "uma", "os", "no",
+    "se", "na", "por", "mais", "as", "dos", "como", "mas", "ao", "ele", "das", "à", "seu", "sua",
+    "ou", "quando", "muito", "nos", "já", "eu", "também", "só", "pelo", "pela", "até", "isso",
+    "ela", "entre", "depois", "sem", "mesmo", "aos", "seus", "quem", "nas", "me", "esse", "eles",
+    "você", "essa", "num", "nem", "suas", "meu", "às", "minha", "numa", "pelos", "elas", "qual",
+    "nós", "lhe", "deles", "essas", "esses", "pelas", "este", "dele", "tu", "te", "vocês", "vos",
+    "lhes", "meus", "minhas", "teu", "tua", "teus", "tuas", "nosso", "nossa", "nossos", "nossas",
+    "dela", "delas", "esta", "estes", "estas", "aquele", "aquela", "aqueles", "aquelas", "isto",
+    "aquilo", "estou", "está", "estamos", "estão", "estive", "esteve", "estivemos", "estiveram",
+    "estava", "estávamos", "estavam", "estivera", "estivéramos", "esteja", "estejamos", "estejam",
+    "estivesse", "estivéssemos", "estivessem", "estiver", "estivermos", "estiverem", "hei", "há",
+    "havemos", "hão", "houve", "houvemos", "houveram", "houvera", "houvéramos", "haja", "hajamos",
+    "hajam", "houvesse", "houvéssemos", "houvessem", "houver", "houvermos", "houverem",
+    "houverei", "houverá", "houveremos", "houverão", "houveria", "houveríamos", "houveriam",
+    "sou", "somos", "são", "era", "éramos", "eram", "fui", "foi", "fomos", "foram", "fora",
+    "fôramos", "seja", "sejamos", "sejam", "fosse", "fôssemos", "fossem", "for", "formos",
+    "forem", "serei", "será", "seremos", "serão", "seria", "seríamos", "seriam", "tenho", "tem",
+    "temos", "tém", "tinha", "tínhamos", "tinham", "tive", "teve", "tivemos", "tiveram", "tivera",
+    "tivéramos", "tenha", "tenhamos", "tenham", "tivesse", "tivéssemos", "tivessem", "tiver",
+    "tivermos", "tiverem", "terei", "terá", "teremos", "terão", "teria", "teríamos", "teriam", "é",
+]
+
 # --------------------------------------------------------------------------
 # end of FIXED VALUES
 # --------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=1)
 def portuguese_stopwords() -> tuple[str, ...]:
-    """Spark's bundled Portuguese stop-word list plus ``é``.
-
-    Read straight from the MLlib jar so that it is available without a JVM
-    (the DuckDB oracle text is built from the same list).
-    """
-    import pyspark
-
-    jar_dir = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    jars = sorted(glob.glob(os.path.join(jar_dir, "spark-mllib_*.jar")))
-    if not jars:  # pragma: no cover - depends on the installation
-        raise RuntimeError("spark-mllib jar not found")
-    with zipfile.ZipFile(jars[0]) as z:
-        words = z.read("org/apache/spark/ml/feature/stopwords/portuguese.txt")
-    out = [w for w in words.decode("utf-8").split() if w]
-    if "é" not in out:
-        out.append("é")
-    return tuple(out)
+    """The stop-word list shared by the Spark expressions and the SQL oracle."""
+    return tuple(PORTUGUESE_STOPWORDS)
