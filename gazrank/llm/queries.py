@@ -4,17 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules, url_rules
+from . import decontamination, line_dedup, pieces, quality_rules, sentencepiece_codec, token_counts, url_rules, warc
 
 #: Parameter of the contract: the list rules.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+#: The table of pages has no dates.
+CRAWL_DATE = "2024-01-01T00:00:00Z"
+#: Vocabulary of the token queries; the file is read on the driver.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_derivatives(spark, sf_dir):
+    source = warc.responses(table(spark, sf_dir, "pages"), F.lit(CRAWL_DATE))
+    made = warc.derivatives(source, keep=["source_key", "target_uri", "date"])
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("conversion_record", "metadata_record")]
+    return made.select(F.col("source_key").alias("page_id"), "target_uri", "date", "conversion_id", "metadata_id", "refers_to",
+                       "source_block_digest", "source_payload_digest", "text_digest",
+                       F.length("text").cast("long").alias("text_chars"), "n_links", *digests)
+
+
 def op2_url_rules(spark, sf_dir):
     out = url_rules.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -25,12 +38,25 @@ def op5_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_decontamination(spark, sf_dir):
+    out = decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "pos", "n_tokens", "item_tokens", "n_slots", "n_changed")
+
+
+def op7_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), pieces.load(PIECE_MODEL), keep=["doc_id"])
+
+
 def op8_quality_rules(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = quality_rules.judge(docs, quality_rules.fit(docs, labels))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_sentencepiece(spark, sf_dir):
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), pieces.load(PIECE_MODEL), keep=["doc_id"], check=True)
+
+
 OP5_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos
@@ -44,5 +70,6 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (often.k IS NOT NULL) AS n_d
 FROM keyed LEFT JOIN often ON keyed.k = often.k GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op2_url_rules, op5_line_dedup, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_url_rules, op5_line_dedup, op6_decontamination, op7_token_counts, op8_quality_rules,
+                                  op10_sentencepiece)}
 ORACLES = {"op5_line_dedup": OP5_SQL}
