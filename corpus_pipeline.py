@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazrank.llm import common, line_dedup, quality_rules
+from gazrank.llm import common, decontamination, line_dedup, near_dup, pieces, quality_rules, sentencepiece_codec
+from gazrank.llm.queries import PIECE_MODEL
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -32,7 +33,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                       F.char_length("kept_text").cast("long").alias("n_chars"))
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays: the one with the smallest id."""
+    return near_dup.drop_copies(docs).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, as it is or re-parameterised, go."""
+    return decontamination.drop_leaks(docs, _table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as piece ids."""
+    out = sentencepiece_codec.encode(docs, pieces.load(PIECE_MODEL), keep=["doc_id", "lang", "source", "n_chars"])
+    return out.select("*", F.size("ids").cast("long").alias("n_ids"))
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near-duplicates", near_duplicates),
+          ("decontamination", decontaminate), ("sentencepiece", encode)]
 
 #: The models of the first and later stages cannot be written in SQL.
 ORACLE_SQL = None

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, lm_scoring, pieces, quality_rules, sentencepiece_codec, token_counts, url_rules, warc
+from . import (decontamination, line_dedup, lm_scoring, near_dup, pieces, quality_rules, sentencepiece_codec,
+               token_counts, url_rules, warc)
 
 #: Parameter of the contract: the list rules.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -57,6 +58,11 @@ def op8_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_minhash_near_dedup(spark, sf_dir):
+    out = near_dup.classes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", F.col("leads").alias("kept"))
+
+
 def op10_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), pieces.load(PIECE_MODEL), keep=["doc_id"], check=True)
 
@@ -75,5 +81,5 @@ FROM keyed LEFT JOIN often ON keyed.k = often.k GROUP BY doc_id
 """
 
 QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_url_rules, op4_lm_scoring, op5_line_dedup, op6_decontamination, op7_token_counts, op8_quality_rules,
-                                  op10_sentencepiece)}
+                                  op9_minhash_near_dedup, op10_sentencepiece)}
 ORACLES = {"op5_line_dedup": OP5_SQL}
