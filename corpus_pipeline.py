@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     model = quality_rules.fit(docs, _table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, model).filter("kept").select(*COLUMNS)
+    return quality_rules.keep_good(quality_rules.judge(docs, model)).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

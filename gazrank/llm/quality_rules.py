@@ -120,3 +120,14 @@ def judge(docs: DataFrame, weights: list[float], threshold: float = THRESHOLD, t
     new = {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
     return df.select(*C.with_new(docs.columns, new | {
         "base_failed": failed, "score": F.col("score"), "kept": ~failed & (F.col("score") >= threshold)}))
+
+
+def keep_good(judged: DataFrame) -> DataFrame:
+    """The rows of :func:`judge` that are kept.
+
+    The row number, which is never negative, keeps the optimizer from moving
+    the condition below the steps of ``judge``, where their shared parts would be written
+    out, and so evaluated, once for each use.
+    """
+    numbered = judged.withColumn("row_number", F.monotonically_increasing_id())
+    return numbered.filter(F.col("kept") & (F.col("row_number") >= 0)).drop("row_number")
