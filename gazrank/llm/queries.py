@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import (decontamination, line_dedup, lm_scoring, near_dup, pieces, quality_rules, sentencepiece_codec,
-               token_counts, url_rules, warc)
+               substring_dedup, token_counts, url_rules, warc)
 
 #: Parameter of the contract: the list rules.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -34,6 +34,10 @@ def op2_url_rules(spark, sf_dir):
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_lm_scoring(spark, sf_dir):
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,6 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (often.k IS NOT NULL) AS n_d
 FROM keyed LEFT JOIN often ON keyed.k = often.k GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_url_rules, op4_lm_scoring, op5_line_dedup, op6_decontamination, op7_token_counts, op8_quality_rules,
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_url_rules, op3_substring_dedup, op4_lm_scoring, op5_line_dedup, op6_decontamination, op7_token_counts, op8_quality_rules,
                                   op9_minhash_near_dedup, op10_sentencepiece)}
 ORACLES = {"op5_line_dedup": OP5_SQL}
