@@ -62,6 +62,14 @@ def mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def draw(a: np.ndarray, i: int) -> np.ndarray:
+    """The ``i``-th of independent 64-bit hashes of each value."""
+    h = a + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 @dataclass
 class Block:
     kind: int

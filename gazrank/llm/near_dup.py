@@ -85,7 +85,7 @@ def samples(h: np.ndarray, weight: np.ndarray, first: np.ndarray, n: int) -> np.
     out = np.empty((n, len(first)), np.uint64)
     unit = lambda x, bits: ((x & np.uint64((1 << bits) - 1)).astype(np.float64) + 0.5) / (1 << bits)
     for k in range(n):
-        x, y = (B.mix(h, np.uint64(2 * k + i)) for i in (1, 2))
+        x, y = (B.draw(h, 2 * k + i) for i in (1, 2))
         r = -np.log(unit(x, 32) * unit(x >> np.uint64(32), 32))
         c = -np.log(unit(y, 24) * unit(y >> np.uint64(24), 24))
         shift = unit(y >> np.uint64(48), 16)

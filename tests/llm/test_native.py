@@ -1,6 +1,7 @@
 """Line dedup, quality rules and url rules against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -68,8 +69,9 @@ def test_quality_base_counts(spark, docs):
 
 
 def test_quality_model_tells_trusted_from_junk(spark):
-    good = [(i, " ".join(f"word{(i * j) % 40}" for j in range(60))) for i in range(30)]
-    junk = [(100 + i, " ".join(f"j{(i * 7 + j) % 300}" for j in range(60))) for i in range(30)]
+    rng = random.Random(1)
+    good = [(i, " ".join(rng.choice("abcdefgh") for _ in range(60))) for i in range(30)]
+    junk = [(100 + i, " ".join(rng.choice("stuvwxyz") for _ in range(60))) for i in range(30)]
     docs = spark.createDataFrame(good + junk, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, 0) for i, _ in good[:15]] + [(i, 0, 0) for i, _ in junk[:15]] + [(0, None, None)],
                                    "doc_id long, quality int, toxic int")
