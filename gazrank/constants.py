@@ -159,6 +159,7 @@ SHUFFLE_SEED = 3911
 SIM_THRESHOLD = 0.30
 TEXT_LIMIT = 49990
 POOL_MAX_DATE = "2020-04-25"
+MONITOR_DATE = "2021-01-01"
 DRIFT_BATCH = 200
 BOOTSTRAP_TRIALS = 10
 

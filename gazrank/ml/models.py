@@ -21,14 +21,16 @@ from .stages import (ArticlePreprocessor, NgramTokenizer, RidgeRegression, Smoot
                      section_normalizer)
 
 TEXT = "tit_org_ementa_text"
-# Vocabulary kept by MLlib's CountVectorizer (held by the model).  The
-# reference keeps every term; 2^20 terms covers the test scales, and the
-# long-form operators in ``operators.vectorize`` have no such bound.
-VOCAB_SIZE = 1 << 20
+# No cap: CountVectorizer keeps min(this, number of terms), so every term that
+# passes the document-frequency bounds is in the model.
+VOCAB_SIZE = 2**31 - 1
+# Columns that no fitted stage reads; left out of what is cached for a fit.
+HEAVY_COLUMNS = ("fulltext", "ementa", "resumo", "identifica", "orgao", "assina", "cargo", "url", "url_certificado",
+                 TEXT, "text_norm")
 
 
 def feature_stages(section: int, binary: bool = True, use_idf: bool | None = None,
-                   norm: str | None = None) -> list:
+                   norm: str | None = None, bounds: bool = True) -> list:
     """Stages up to the ``features`` vector (VEC1/VEC2/VEC3 + VEC7 + VEC8)."""
     pre = ArticlePreprocessor(columns=["tipo_edicao", TEXT], fillna=K.NULL_TOKEN_SPACED)
     normz = section_normalizer(section, TEXT, "text_norm")
@@ -40,8 +42,8 @@ def feature_stages(section: int, binary: bool = True, use_idf: bool | None = Non
     else:
         grams = NgramTokenizer(inputCol="text_norm", outputCol="terms", nMin=1, nMax=1)
         cv = CountVectorizer(inputCol="terms", outputCol="tf", binary=binary,
-                             minDF=float(K.SECTION2_MIN_DF), maxDF=K.SECTION2_MAX_DF,
-                             vocabSize=VOCAB_SIZE)
+                             minDF=float(K.SECTION2_MIN_DF) if bounds else 1.0,
+                             maxDF=K.SECTION2_MAX_DF if bounds else 1.0, vocabSize=VOCAB_SIZE)
         use_idf = False if use_idf is None else use_idf
     stages = [pre, normz, grams, cv]
     vec = "tf"
@@ -69,6 +71,11 @@ def split_stateless(pipeline: Pipeline) -> tuple[list, list]:
     return stages[:i], stages[i:]
 
 
+def light(df: DataFrame) -> DataFrame:
+    """Without the text columns that the fitted stages do not read."""
+    return df.drop(*HEAVY_COLUMNS)
+
+
 def fit_cached(pipeline: Pipeline, df: DataFrame) -> PipelineModel:
     """Fit with the stateless prefix computed once and cached.
 
@@ -78,7 +85,7 @@ def fit_cached(pipeline: Pipeline, df: DataFrame) -> PipelineModel:
     """
     pre, rest = split_stateless(pipeline)
     pm = Pipeline(stages=pre).fit(df)
-    x = pm.transform(df).persist()
+    x = light(pm.transform(df)).persist()
     try:
         rm = Pipeline(stages=rest).fit(x)
     finally:
@@ -132,6 +139,10 @@ def relevance_weight(label: str = "relevancia") -> Column:
     return F.col(label).cast("double")
 
 
+# MLlib's own limit; the reference's tree grows until its leaves are pure.
+MAX_TREE_DEPTH = 30
+
+
 def alternative_regressor(kind: str, alpha: float = 1.0, l1_ratio: float = 0.5, seed: int = 42):
     """MOD17: ElasticNet/Lasso, Huber, decision tree (commented candidates)."""
     if kind == "elasticnet":
@@ -140,7 +151,7 @@ def alternative_regressor(kind: str, alpha: float = 1.0, l1_ratio: float = 0.5,
     if kind == "huber":
         return LinearRegression(labelCol="relevancia", loss="huber", regParam=alpha, elasticNetParam=0.0)
     if kind == "tree":
-        return DecisionTreeRegressor(labelCol="relevancia", maxDepth=10, seed=seed)
+        return DecisionTreeRegressor(labelCol="relevancia", maxDepth=MAX_TREE_DEPTH, seed=seed)
     raise ValueError(kind)
 
 
@@ -157,13 +168,19 @@ def mode_of(df: DataFrame, label: str = "relevancia") -> float:
     return df.agg(F.mode(label, deterministic=True)).first()[0]
 
 
+def keyed_uniform(seed: int, *key: Column) -> Column:
+    """A number in [0, 1) that depends on the seed and the key only."""
+    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
 def random_predictor(train: DataFrame, df: DataFrame, label: str = "relevancia",
                      follow_frequency: bool = False, seed: int = 42,
-                     col: str = "prediction") -> DataFrame:
+                     col: str = "prediction", id_col: str = "doc_id") -> DataFrame:
     """MOD8: uniform over the seen classes, or following their frequencies
-    (inverse CDF over the class table, a handful of rows)."""
+    (inverse CDF over the class table, a handful of rows). The draw is keyed
+    by the row's id, so it does not depend on partitions or retries."""
     counts = sorted((r[0], r[1]) for r in train.groupBy(label).count().collect())
-    u = F.rand(seed)
+    u = keyed_uniform(seed, F.col(id_col))
     if not follow_frequency:
         classes = F.array(*[F.lit(float(c)) for c, _ in counts])
         return df.withColumn(col, F.element_at(classes, (F.floor(u * len(counts)) + 1).cast("int")))
@@ -196,21 +213,42 @@ def combine_naive_bayes(df: DataFrame, raw1: str, raw2: str, log_prior: list[flo
     return d.withColumn(out, pred.cast("double"))
 
 
-def token_weights(model, spark) -> DataFrame:
+def stage_table(spark, model, kind, column: str, name: str, path: str) -> DataFrame:
+    """``(idx, name)`` of an array or vector that a fitted stage holds, read from the stage's saved files.
+
+    The stage writes them itself, so a large vocabulary or coefficient vector is
+    not looped over in the driver.
+    """
+    from pyspark.ml.functions import vector_to_array
+    stage = next((s for s in model.stages if isinstance(s, kind)), None)
+    if stage is None:
+        return None
+    stage.write().overwrite().save(path)
+    data = spark.read.parquet(f"{path}/data")
+    values = F.col(column) if data.schema[column].dataType.typeName() == "array" else vector_to_array(F.col(column))
+    return data.select(F.posexplode(values).alias("idx", name))
+
+
+def token_weights(model, spark, path: str) -> DataFrame:
     """MOD16: vocabulary x ridge coefficients x forest importances; the
-    one-hot coefficient (last) is excluded.  Sizes are the model's own
-    (held by the fitted model), turned into a DataFrame once."""
+    one-hot coefficient (last) is excluded.  ``path``: scratch folder."""
     from pyspark.ml.feature import CountVectorizerModel
     from pyspark.ml.regression import LinearRegressionModel, RandomForestRegressionModel
-    vocab = next(s for s in model.stages if isinstance(s, CountVectorizerModel)).vocabulary
-    ridge = next((s for s in model.stages if isinstance(s, LinearRegressionModel)), None)
+    out = stage_table(spark, model, CountVectorizerModel, "vocabulary", "term", f"{path}/vocabulary")
+    coef = stage_table(spark, model, LinearRegressionModel, "coefficients", "weight", f"{path}/ridge")
     rf = next((s for s in model.stages if isinstance(s, RandomForestRegressionModel)), None)
-    coef = ridge.coefficients.toArray() if ridge is not None else None
-    imp = rf.featureImportances.toArray() if rf is not None else None
-    rows = [(t, float(coef[i]) if coef is not None else None,
-             float(imp[i]) if imp is not None else None) for i, t in enumerate(vocab)]
-    df = spark.createDataFrame(rows, "term string, weight double, importance double")
-    return df.withColumn("abs_weight", F.abs("weight"))
+    if coef is not None:
+        out = out.join(coef, "idx", "left")
+    else:
+        out = out.withColumn("weight", F.lit(None).cast("double"))
+    if rf is not None:
+        # sparse: at most one entry for each split of the trees
+        imp = rf.featureImportances
+        imp = list(zip(map(int, imp.indices), map(float, imp.values)))
+        out = out.join(spark.createDataFrame(imp, "idx int, importance double"), "idx", "left").na.fill(0.0, ["importance"])
+    else:
+        out = out.withColumn("importance", F.lit(None).cast("double"))
+    return out.select("term", "weight", "importance", F.abs("weight").alias("abs_weight"))
 
 
 def hard_vote(labels: DataFrame, id_col: str, label: str = "label") -> DataFrame:

@@ -64,11 +64,11 @@ def cv_scores(pipeline: Pipeline, df: DataFrame, k: int = 5, seed: int | None =
               id_col: str = "doc_id", parallelism: int = 5) -> list[float]:
     """EVA1 (held-out folds), EVA2 (``on_train``: the training folds), EVA3
     (``permute_seed``: labels permuted first, the noise floor)."""
-    from .models import split_stateless
+    from .models import light, split_stateless
     data = permute_labels(df, permute_seed, id_col) if permute_seed is not None else df
     pre, rest = split_stateless(pipeline)
     # text preprocessing once for all folds (it needs no fit)
-    data = Pipeline(stages=pre).fit(data).transform(data)
+    data = light(Pipeline(stages=pre).fit(data).transform(data))
     folds = S.with_kfold(data, k, id_col, seed).persist()
     rest_pipe = Pipeline(stages=rest)
 
@@ -100,17 +100,26 @@ def permute_labels(df: DataFrame, seed: int, id_col: str = "doc_id",
 def cross_val_predict(pipeline: Pipeline, df: DataFrame, k: int = 5, seed: int = K.SHUFFLE_SEED,
                       id_col: str = "doc_id") -> DataFrame:
     """EVA4: out-of-fold predictions after a seeded shuffle; every id once."""
-    from .models import split_stateless
+    from ..session import materialize
+    from .models import light, split_stateless
     pre, rest = split_stateless(pipeline)
-    data = Pipeline(stages=pre).fit(df).transform(df)
+    data = light(Pipeline(stages=pre).fit(df).transform(df))
     folds = S.with_kfold(data, k, id_col, seed).persist()
     pipeline = Pipeline(stages=rest)
-    out = None
-    for i in range(k):
+
+    def one(i):
         m = pipeline.fit(folds.filter(F.col("fold") != i))
-        p = m.transform(folds.filter(F.col("fold") == i)).select(id_col, "fold", "relevancia", "prediction")
-        out = p if out is None else out.unionByName(p)
-    return out
+        return m.transform(folds.filter(F.col("fold") == i)).select(id_col, "fold", "relevancia", "prediction")
+
+    try:
+        with ThreadPoolExecutor(k) as ex:
+            parts = list(ex.map(one, range(k)))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return materialize(out)
+    finally:
+        folds.unpersist()
 
 
 def learning_curve(pipeline: Pipeline, train: DataFrame, val: DataFrame, steps: int = 10,
@@ -120,11 +129,11 @@ def learning_curve(pipeline: Pipeline, train: DataFrame, val: DataFrame, steps:
     spark = train.sparkSession
     n = train.count()
     sizes = S.learning_curve_sizes(n, steps)
-    from .models import split_stateless
+    from .models import light, split_stateless
     pre, rest = split_stateless(pipeline)
     pm = Pipeline(stages=pre).fit(train)
-    pos = S.shuffled_positions(pm.transform(train), id_col, seed, name="_lc").persist()
-    pval = pm.transform(val).persist()
+    pos = S.shuffled_positions(light(pm.transform(train)), id_col, seed, name="_lc").persist()
+    pval = light(pm.transform(val)).persist()
     pipeline = Pipeline(stages=rest)
     rows = []
     try:
@@ -138,31 +147,35 @@ def learning_curve(pipeline: Pipeline, train: DataFrame, val: DataFrame, steps:
     return spark.createDataFrame(rows, "size long, train_score double, val_score double")
 
 
-def cv_learning_curve(pipeline: Pipeline, df: DataFrame, fractions=(0.1, 0.325, 0.55, 0.775, 1.0),
+def cv_learning_curve(pipeline: Pipeline, df: DataFrame, fractions=tuple(i / 10 for i in range(1, 11)),
                       k: int = 5, metric: str = "rmse", id_col: str = "doc_id") -> DataFrame:
-    """EVA6: per training fraction, mean/std of the k-fold held-out score."""
-    from .models import split_stateless
+    """EVA6: per training fraction, mean/std of the k-fold score on the
+    held-out fold and on the part trained on."""
+    from .models import light, split_stateless
     spark = df.sparkSession
     pre, rest = split_stateless(pipeline)
-    data = Pipeline(stages=pre).fit(df).transform(df)
+    data = light(Pipeline(stages=pre).fit(df).transform(df))
     pipeline = Pipeline(stages=rest)
     folds = S.with_kfold(data, k, id_col, K.SHUFFLE_SEED).persist()
     rows = []
     try:
-        for frac in fractions:
-            scores = []
-            for i in range(k):
-                tr = folds.filter(F.col("fold") != i)
-                n_tr = tr.count()
-                take = max(1, int(frac * n_tr))
-                tr = S.shuffled_positions(tr, id_col, 7, name="_q").filter(F.col("_q") <= take).drop("_q")
-                m = pipeline.fit(tr)
-                scores.append(_score(m.transform(folds.filter(F.col("fold") == i)), metric))
-            mu, sd = mean_std(scores)
-            rows.append((float(frac), mu, sd))
+        def fold_curve(i):
+            tr = S.shuffled_positions(folds.filter(F.col("fold") != i), id_col, 7, name="_q")
+            n_tr, held, out = tr.count(), folds.filter(F.col("fold") == i), []
+            for frac in fractions:
+                part = tr.filter(F.col("_q") <= max(1, int(frac * n_tr)))
+                m = pipeline.fit(part)
+                out.append((_score(m.transform(held), metric), _score(m.transform(part), metric)))
+            return out
+
+        with ThreadPoolExecutor(k) as ex:
+            curves = list(ex.map(fold_curve, range(k)))
+        for j, frac in enumerate(fractions):
+            rows.append((float(frac), *mean_std([c[j][0] for c in curves]), *mean_std([c[j][1] for c in curves])))
     finally:
         folds.unpersist()
-    return spark.createDataFrame(rows, "fraction double, mean_score double, std_score double")
+    return spark.createDataFrame(rows, "fraction double, mean_score double, std_score double, "
+                                       "mean_train_score double, std_train_score double")
 
 
 # ---------------------------------------------------------------- search
@@ -185,41 +198,41 @@ def search_fixed_split(spark: SparkSession, train: DataFrame, val: DataFrame, ca
     Text preprocessing runs once and is cached; features are fitted once per
     vectorizer setting; only the ridge fit runs per alpha.
     """
-    from .models import feature_stages
+    from .models import feature_stages, light
     from .stages import RidgeRegression
     pre_stages = feature_stages(section)[:3]  # preprocess, normalise, n-grams
     pre = Pipeline(stages=pre_stages).fit(train)
-    tr = pre.transform(train).persist()
-    va = pre.transform(val).persist()
+    tr = light(pre.transform(train)).persist()
+    va = light(pre.transform(val)).persist()
     ev = CumRecallEvaluator()
     by_vec: dict = {}
     for c in candidates:
         by_vec.setdefault((c["binary"], c["use_idf"], c["norm"]), []).append(c)
-    cached = []
-    jobs = []
+    rows = []
+
+    def one(job):
+        c, ftr, fva = job
+        t0 = time.time()
+        m = RidgeRegression(alpha=c["alpha"]).fit(ftr)
+        fit_t = time.time() - t0
+        return (float(c["alpha"]), bool(c["binary"]), bool(c["use_idf"]), str(c["norm"]),
+                ev.evaluate(m.transform(fva)), ev.evaluate(m.transform(ftr)), fit_t)
+
     try:
-        # features once per vectorizer setting, then every ridge fit in one pool
+        # one vectorizer setting at a time: its features are cached, its ridge
+        # fits run in one pool, then the cache goes
         for (binary, use_idf, norm), cands in by_vec.items():
             fs = feature_stages(section, binary=binary, use_idf=use_idf, norm=norm)[3:]
             fm = Pipeline(stages=fs).fit(tr)
             ftr = fm.transform(tr).select("doc_id", "relevancia", "features").persist()
             fva = fm.transform(va).select("doc_id", "relevancia", "features").persist()
-            cached += [ftr, fva]
-            jobs += [(c, ftr, fva) for c in cands]
-
-        def one(job):
-            c, ftr, fva = job
-            t0 = time.time()
-            m = RidgeRegression(alpha=c["alpha"]).fit(ftr)
-            fit_t = time.time() - t0
-            return (float(c["alpha"]), bool(c["binary"]), bool(c["use_idf"]), str(c["norm"]),
-                    ev.evaluate(m.transform(fva)), ev.evaluate(m.transform(ftr)), fit_t)
-
-        with ThreadPoolExecutor(parallelism) as ex:
-            rows = list(ex.map(one, jobs))
+            try:
+                with ThreadPoolExecutor(parallelism) as ex:
+                    rows += ex.map(one, [(c, ftr, fva) for c in cands])
+            finally:
+                ftr.unpersist()
+                fva.unpersist()
     finally:
-        for d in cached:
-            d.unpersist()
         tr.unpersist()
         va.unpersist()
     schema = ("param_alpha double, param_binary boolean, param_use_idf boolean, param_norm string, "
@@ -304,6 +317,7 @@ def bootstrap_metrics(pred: DataFrame, weights: DataFrame, trials: int = K.BOOTS
     (square-rooted as in the reference when ``sqrt_recall``).
     """
     from ..operators.ordering import with_position
+    from .models import keyed_uniform
     spark = pred.sparkSession
     n = pred.count()
     cls = pred.groupBy(label).agg(F.count(F.lit(1)).alias("c")).join(weights, label)
@@ -313,7 +327,7 @@ def bootstrap_metrics(pred: DataFrame, weights: DataFrame, trials: int = K.BOOTS
     pos = with_position(narrow, ["_k", id_col], group=[label], name="_cp").drop("_k")
     draws = spark.range(trials * n).select(
         (F.col("id") / n).cast("long").alias("trial"), F.col("id").alias("draw"),
-        F.rand(seed).alias("_u1"), F.rand(seed + 1).alias("_u2"))
+        keyed_uniform(seed, F.col("id")).alias("_u1"), keyed_uniform(seed + 1, F.col("id")).alias("_u2"))
     expr, acc = None, 0.0
     for lab, c, w in rows:
         acc += c * w / tot
@@ -336,8 +350,28 @@ def bootstrap_metrics(pred: DataFrame, weights: DataFrame, trials: int = K.BOOTS
     return per
 
 
-def bag_samples(df: DataFrame, n_estimators: int, max_samples: float, seed: int) -> list[DataFrame]:
-    """SPL10: one bootstrap sample per member, seed = base + i (approximate
-    size ``max_samples * n`` with replacement)."""
-    return [df.sample(withReplacement=True, fraction=float(max_samples), seed=seed + i)
-            for i in range(n_estimators)]
+def bootstrap_summary(trials: DataFrame) -> DataFrame:
+    """SPL9 report: mean and population std of both metrics over the trials."""
+    return trials.agg(*[f(c).alias(f"{n}_{c}") for c in ("rmse", "cum_recall")
+                        for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+
+
+def bag_samples(df: DataFrame, n_estimators: int, max_samples: float | int, seed: int,
+                id_col: str = "doc_id") -> list[DataFrame]:
+    """SPL10: one bootstrap sample with replacement per member, seed = base + i.
+
+    An int is a number of rows, ``min(n, max_samples)``; a float a share of
+    them. Each draw is keyed by its number and the seed: exact size, and the
+    same rows on every run.
+    """
+    from ..operators.ordering import with_position
+    spark = df.sparkSession
+    pos = with_position(df.select(id_col), [id_col], name="_p")
+    n = pos.count()
+    take = min(n, max_samples) if isinstance(max_samples, int) else int(max_samples * n)
+    out = []
+    for i in range(n_estimators):
+        draws = spark.range(take).select(
+            (F.pmod(F.xxhash64(F.lit(seed + i), "id"), F.lit(max(n, 1))) + 1).alias("_p"))
+        out.append(draws.join(pos, "_p").select(id_col).join(df, id_col))
+    return out

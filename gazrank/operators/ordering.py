@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from ..session import materialize, shuffle_partitions
 
 _LOW_BITS = (1 << 33) - 1
-_MAX_RANGES = 1 << 16
 
 
 def _sort_cols(order: list) -> list[Column]:
@@ -47,9 +46,7 @@ def with_position(df: DataFrame, order: list, group: list[str] | None = None,
     group = list(group or [])
     sums = list(sums or [])
     spark = df.sparkSession
-    # at least as many ranges as the input has partitions (its file splits
-    # follow the data size), capped so the offsets table stays small
-    p = partitions or min(max(shuffle_partitions(spark), df.rdd.getNumPartitions()), _MAX_RANGES)
+    p = partitions or shuffle_partitions(spark)
     keys = [F.col(g).asc_nulls_first() for g in group] + _sort_cols(order)
     # Materialised once: range bounds come from sampling, and two
     # re-executions may sample differently, so both uses below must read
@@ -80,17 +77,19 @@ def with_position(df: DataFrame, order: list, group: list[str] | None = None,
 
 
 def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int,
-                    name: str = "rank", salt_buckets: int = 16,
+                    name: str = "rank", salt_buckets: int | None = None,
                     salt_col: str | None = None) -> DataFrame:
     """Top ``k`` rows per group along ``order`` (a total order), with rank.
 
     Two phases so a hot group (a third of all rows) is not sorted in one
     task: first the top ``k`` inside (group, salt) buckets, where the salt
     is a hash of ``salt_col`` (or of the order columns), then the top ``k``
-    among at most ``salt_buckets * k`` survivors per group.  Exact: a global
+    among at most ``salt_buckets * k`` survivors per group (as many buckets as
+    shuffle partitions, unless given).  Exact: a global
     top-k row is a top-k row of its bucket.
     """
     cols = _sort_cols(order)
+    salt_buckets = salt_buckets or shuffle_partitions(df.sparkSession)
     salt_src = F.col(salt_col) if salt_col else F.concat_ws(
         "\u0001", *[F.col(c).cast("string") for c in order if isinstance(c, str)])
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_src), F.lit(salt_buckets)))

@@ -160,12 +160,6 @@ def term_in_every_doc(terms: DataFrame, n_docs: int) -> DataFrame:
                    (F.max("df") >= n_docs).alias("any_in_all"))
 
 
-def mean_vector(terms: DataFrame, n_docs: int) -> DataFrame:
-    """SIM1 per-term mean of the binary matrix: ``df / N``."""
-    return terms.groupBy("term").agg((F.count(F.lit(1)) / F.lit(float(n_docs))).alias("mean"))
-
-
-
 def stem_terms(terms: DataFrame, stemmer) -> DataFrame:
     """TXT10 / EXT3: pluggable stemmer (any object with ``.stem(word)``).
 

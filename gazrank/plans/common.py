@@ -30,10 +30,10 @@ def splits(spark: SparkSession, sf: str) -> DataFrame:
 
 def score() -> Column:
     """Deterministic stand-in score for ranking / metric checks."""
-    return (F.col("relevancia") + ((F.col("doc_id") * 37) % 101) / 50.0 - 1.0).cast("double")
+    return (F.col("relevancia") + ((F.col("doc_id") * 37) % 101) / 20.0 - 2.5).cast("double")
 
 
-SQL_SCORE = "CAST(relevancia + ((doc_id * 37) % 101) / 50.0 - 1.0 AS DOUBLE)"
+SQL_SCORE = "CAST(relevancia + ((doc_id * 37) % 101) / 20.0 - 2.5 AS DOUBLE)"
 
 
 def sql(body: str, extra: str = "") -> str:

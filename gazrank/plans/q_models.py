@@ -22,6 +22,8 @@ from ..ml.stages import RidgeRegression
 from ..operators import ranking as RK
 from ..sources import io as IO
 from ..sources import tables
+from ..operators import cuts
+from ..session import materialize
 from .common import SQL_SCORE, articles, score, splits, sql
 from .registry import register
 
@@ -33,6 +35,8 @@ def _parts(spark, sf):
 
 
 def _split_scores(pred):
+    # scored once; both metrics read the result
+    pred = materialize(pred.select("doc_id", "split", "relevancia", "prediction"))
     r = pred.groupBy("split").agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.round(F.sqrt(F.avg(F.pow(F.col("relevancia") - F.col("prediction"), 2))), 6).alias("rmse"))
@@ -152,53 +156,56 @@ def mod12(spark, sf):
     stages = M.feature_stages(2) + [
         RidgeRegression(alpha=K.SECTION2_RIDGE_ALPHA, predictionCol="ridge_pred"),
         VectorAssembler(inputCols=["ridge_pred", "tipo_vec"], outputCol="stack"),
-        M.forest().setFeaturesCol("stack").setMaxDepth(5)]
+        M.forest().setFeaturesCol("stack")]
     return M.fit_cached(Pipeline(stages=stages), tr).transform(va).select(
         "doc_id", F.round("ridge_pred", 6).alias("ridge_pred"), F.round("prediction", 6).alias("prediction"))
 
 
-def _pool_features(spark, sf):
-    """Unlabelled pool with section-2 features (vocabulary fitted on it)."""
-    pool = tables.pool(articles(spark, sf)).filter(F.col("fulltext").isNotNull())
-    fm = M.fit_cached(Pipeline(stages=M.feature_stages(2)), pool)
-    return fm.transform(pool).select("doc_id", "features").persist()
+def _pool_model(spark, sf):
+    """The curated pool (PRJ2 cut) with every term as a feature: fitted features and the pool rows."""
+    pool = tables.pool(articles(spark, sf)).filter(cuts.pool_cut()).filter(F.col("fulltext").isNotNull())
+    return M.fit_cached(Pipeline(stages=M.feature_stages(2, bounds=False)), pool), pool
+
+
+def _clusters(spark, sf):
+    fm, pool = _pool_model(spark, sf)
+    rows = materialize(M.light(fm.transform(pool)).select("doc_id", "terms", "tipo_vec", "features"))
+    km = CL.fit_kmeans(rows.select("doc_id", "features"), K.KMEANS_K)
+    own = km.transform(rows.select("doc_id", "features")).select("doc_id", F.col("cluster").alias("centre"))
+    entries = CL.sparse_entries(spark, rows, fm, IO.scratch_dir(spark, "vocabulary"))
+    return materialize(own), materialize(entries), CL.centre_table(spark, km, IO.scratch_dir(spark, "kmeans"))
 
 
 @register("mod13_kmeans_pool")
 def mod13(spark, sf):
     """MOD13: k-means (k = 100) on the unlabelled pool; each document's
-    cluster and its distance to every centre, reduced to the nearest."""
-    f = _pool_features(spark, sf)
-    km = CL.fit_kmeans(f, K.KMEANS_K)
-    d = CL.centre_distances(spark, f, km)
-    own = km.transform(f).select("doc_id", F.col("cluster").alias("centre"))
-    return own.join(d, ["doc_id", "centre"]).select("doc_id", F.col("centre").alias("cluster"),
-                                                   F.round("distance", 6).alias("distance"))
+    cluster and its distance to that centre, the nearest."""
+    own, entries, centres = _clusters(spark, sf)
+    return CL.own_distances(own, entries, centres).select(
+        "doc_id", F.col("centre").alias("cluster"), F.round("distance", 6).alias("distance"))
 
 
 @register("mod14_cluster_representatives")
 def mod14(spark, sf):
     """MOD14: per centre, the nearest pool document (over all documents)."""
-    f = _pool_features(spark, sf)
-    km = CL.fit_kmeans(f, K.KMEANS_K)
-    return CL.representatives(CL.centre_distances(spark, f, km)).select(
+    own, entries, centres = _clusters(spark, sf)
+    return CL.representatives(own.select("doc_id"), entries, centres).select(
         "centre", "doc_id", F.round("distance", 6).alias("distance"))
 
 
 @register("mod15_cluster_profile")
 def mod15(spark, sf):
-    """MOD15: centre vs mean member vector of the largest cluster."""
-    f = _pool_features(spark, sf)
-    km = CL.fit_kmeans(f, K.KMEANS_K)
-    sizes = km.summary.clusterSizes
-    big = max(range(len(sizes)), key=lambda i: (sizes[i], -i))
-    return CL.member_profile(f, km, big)
+    """MOD15: centre vs mean member vector of every cluster."""
+    own, entries, centres = _clusters(spark, sf)
+    return CL.member_profiles(own, entries, centres)
 
 
 @register("mod10_bagged_kmeans_vote")
 def mod10(spark, sf):
-    """MOD10: bagged k-means members with a hard vote."""
-    return CL.bagged_kmeans_vote(_pool_features(spark, sf), n_estimators=4, k=5)
+    """MOD10: bagged k-means members, centres aligned, with a hard vote."""
+    fm, pool = _pool_model(spark, sf)
+    rows = materialize(M.light(fm.transform(pool)).select("doc_id", "features"))
+    return CL.bagged_kmeans_vote(rows, n_estimators=4, k=5)
 
 
 @register("mod16_token_weights")
@@ -206,7 +213,7 @@ def mod16(spark, sf):
     """MOD16: vocabulary x ridge coefficient x forest importance."""
     _, tr, _, _ = _parts(spark, sf)
     m = M.fit_cached(M.section2_model(), tr)
-    return M.token_weights(m, spark)
+    return M.token_weights(m, spark, IO.scratch_dir(spark, "weights"))
 
 
 @register("mod17_alternative_regressors")
@@ -249,47 +256,56 @@ def eva4(spark, sf):
 def eva5(spark, sf):
     """EVA5: nested training prefixes, cumulative recall on train / val."""
     _, tr, va, _ = _parts(spark, sf)
-    return TU.learning_curve(M.section1_model(), tr, va, steps=5)
+    return TU.learning_curve(M.section1_model(), tr, va)
 
 
 @register("eva6_cv_learning_curve")
 def eva6(spark, sf):
     """EVA6: CV score per training fraction."""
     _, tr, _, _ = _parts(spark, sf)
-    return TU.cv_learning_curve(M.section1_model(), tr, fractions=(0.3, 0.65, 1.0), k=3)
+    return TU.cv_learning_curve(M.section1_model(), tr)
 
 
-_GRID_CACHE: dict = {}
+@register("eva7_grid_search")
+def eva7(spark, sf):
+    """EVA7: 6 alphas x binary x idf x 3 norms on the fixed validation split."""
+    _, tr, va, _ = _parts(spark, sf)
+    return TU.search_fixed_split(spark, tr, va, TU.grid(TU.SECTION1_GRID), section=1)
 
 
-def grid_results(spark, sf):
-    """EVA7 results (72 candidates), computed once per scale directory."""
-    key = (sf, "grid")
-    if key not in _GRID_CACHE:
-        _, tr, va, _ = _parts(spark, sf)
-        res = TU.search_fixed_split(spark, tr, va, TU.grid(TU.SECTION1_GRID), section=1)
-        _GRID_CACHE[key] = [tuple(r) for r in res.collect()]
-        _GRID_CACHE[(sf, "schema")] = res.schema
-    return spark.createDataFrame(_GRID_CACHE[key], _GRID_CACHE[(sf, "schema")])
+_RESULT_SCORES = {"mean_test_score": "val", "mean_train_score": "train"}
 
 
-@register("eva7_grid_search")
-def eva7(spark, sf):
-    """EVA7: 6 alphas x binary x idf x 3 norms on the fixed validation split."""
-    return grid_results(spark, sf)
+def result_table(spark, sf):
+    """A search-result table with the columns of EVA7, taken from the articles: a candidate is
+    a section and a class, its scores are the mean stand-in scores of its rows per split."""
+    s = splits(spark, sf).withColumn("score", score())
+    return s.groupBy(F.col("secao").alias("param_secao"), F.col("relevancia").alias("param_class")).agg(
+        *[F.round(F.coalesce(F.avg(F.when(F.col("split") == v, F.col("score"))), F.lit(0.0)), 6).alias(n)
+          for n, v in _RESULT_SCORES.items()],
+        F.count(F.lit(1)).cast("double").alias("mean_fit_time"))
+
 
+_SQL_RESULTS = ("results AS (SELECT secao AS param_secao, relevancia AS param_class, " + ", ".join(
+    f"round(coalesce(avg(CASE WHEN split = '{v}' THEN score END), 0.0), 6) AS {n}" for n, v in _RESULT_SCORES.items())
+    + ", CAST(count(*) AS DOUBLE) AS mean_fit_time FROM scored GROUP BY 1, 2)")
 
-@register("eva9_search_table")
+
+@register("eva9_search_table",
+          lambda: sql("SELECT * FROM results ORDER BY mean_test_score DESC, mean_fit_time, mean_train_score DESC LIMIT 10",
+                      _SQL_RESULTS))
 def eva9(spark, sf):
     """EVA9 + TOP5: search results, best first, top 10."""
-    return TU.search_table(grid_results(spark, sf)).limit(10)
+    return TU.search_table(result_table(spark, sf)).limit(10)
 
 
-@register("eva10_param_slices")
+@register("eva10_param_slices",
+          lambda: sql("SELECT r.*, 'param_secao' AS varied_param FROM results r, best WHERE r.param_class = best.param_class "
+                      "UNION ALL SELECT r.*, 'param_class' FROM results r, best WHERE r.param_secao = best.param_secao",
+                      _SQL_RESULTS + ", best AS (SELECT * FROM results ORDER BY mean_test_score DESC LIMIT 1)"))
 def eva10(spark, sf):
     """EVA10: per parameter, candidates with all other parameters at best."""
-    return TU.best_param_slices(grid_results(spark, sf),
-                                ["param_alpha", "param_binary", "param_use_idf", "param_norm"])
+    return TU.best_param_slices(result_table(spark, sf), ["param_secao", "param_class"])
 
 
 @register("eva8_random_search")
@@ -328,6 +344,15 @@ def spl9(spark, sf):
     return TU.bootstrap_metrics(pred, w, trials=K.BOOTSTRAP_TRIALS, seed=42)
 
 
+@register("spl9_bootstrap_summary")
+def spl9_summary(spark, sf):
+    """SPL9: mean and std over the trials, cumulative recall square-rooted."""
+    from .q_relational import class_weights
+    val, w = class_weights(spark, sf)
+    pred = val.withColumn("prediction", score())
+    return TU.bootstrap_summary(TU.bootstrap_metrics(pred, w, trials=K.BOOTSTRAP_TRIALS, seed=42, sqrt_recall=True))
+
+
 @register("spl10_bag_samples")
 def spl10(spark, sf):
     """SPL10: bootstrap subsample sizes of 4 bagging members (seed + i)."""

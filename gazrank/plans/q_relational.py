@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import cuts
@@ -185,7 +186,9 @@ def jn2(spark, sf):
 def jn3(spark, sf):
     a = articles(spark, sf)
     known = tables.classified(a).select("url").filter(F.col("url").isNotNull()).distinct()
-    # null-aware NOT IN: the subquery is not empty here, so null urls drop
+    if known.isEmpty():  # nothing to be in: every row stays, null urls too
+        return a.select("doc_id")
+    # null-aware NOT IN: against a non-empty list null urls drop
     return a.filter(F.col("url").isNotNull()).join(known, "url", "left_anti").select("doc_id")
 
 
@@ -274,11 +277,11 @@ def agg4(spark, sf):
 
 @register("agg5_monitor_cutoff",
           lambda: sql("SELECT m.max_date, CAST(count(c.doc_id) AS BIGINT) AS n_newer FROM "
-                      "(SELECT max(data_pub) AS max_date FROM splits WHERE split = 'train') m "
+                      f"(SELECT max(data_pub) AS max_date FROM splits WHERE split = 'train' AND data_pub < '{K.MONITOR_DATE}') m "
                       "LEFT JOIN classified c ON c.data_pub > m.max_date AND c.url IS NOT NULL "
                       "GROUP BY m.max_date"))
 def agg5(spark, sf):
-    max_date = (splits(spark, sf).filter(F.col("split") == "train")
+    max_date = (splits(spark, sf).filter((F.col("split") == "train") & (F.col("data_pub") < K.MONITOR_DATE))
                 .agg(F.max("data_pub").alias("m")).first()["m"])
     newer = (cuts.drop_null_url(tables.classified(articles(spark, sf)))
              .filter(F.col("data_pub") > F.lit(max_date)))

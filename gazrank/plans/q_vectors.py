@@ -39,13 +39,13 @@ def _explode(docs):
             .withColumn("tf", F.lit(1).cast("long")))
 
 
-def section2_model_terms(spark, sf):
+def section2_model_terms(spark, sf, with_index=False):
     """Train vocabulary (df 2 .. 0.7) and binary terms of every split."""
     docs = _doc_table(features(spark, sf, 2))
     n_train = docs.filter(F.col("split") == "train").count()
     terms = _explode(docs)
     vocab = V.fit_vocabulary(terms.filter(F.col("split") == "train"), n_train,
-                             K.SECTION2_MIN_DF, K.SECTION2_MAX_DF)
+                             K.SECTION2_MIN_DF, K.SECTION2_MAX_DF, with_index=with_index)
     return docs, terms, vocab
 
 
@@ -76,7 +76,7 @@ def _sql_sec2(extra=""):
                       "AS BIGINT) AS idx FROM voc", _sql_sec2()))
 def vec1_vocab(spark, sf):
     """AGG14 / VEC1 fit: binary unigrams, 2 <= df <= 70 % of train docs."""
-    _, _, vocab = section2_model_terms(spark, sf)
+    _, _, vocab = section2_model_terms(spark, sf, with_index=True)
     return vocab.select("term", F.col("df").cast("bigint").alias("df"),
                         F.col("idx").cast("bigint").alias("idx"))
 

@@ -155,8 +155,3 @@ ARTICLES_SQL = """SELECT d.doc_id AS doc_id,
  CAST(NULL AS STRING) AS url_certificado,
  CAST(DATE '2022-01-01' AS STRING) AS data_registro
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
-
-CLASSIFIED_SQL = "SELECT * FROM articles WHERE relevancia IS NOT NULL"
-CURATED_SQL = ("SELECT * EXCLUDE (relevancia, data_registro), CAST(5 AS INT) AS relevancia "
-               "FROM articles WHERE doc_id % 5 = 4")
-POOL_SQL = "SELECT * FROM articles WHERE relevancia IS NULL"
