@@ -162,14 +162,18 @@ def mod12(spark, sf):
 
 
 def _pool_model(spark, sf):
-    """The curated pool (PRJ2 cut) with every term as a feature: fitted features and the pool rows."""
+    """The pool that passes its cut, with every term of the text as a feature: fitted features and the rows."""
     pool = tables.pool(articles(spark, sf)).filter(cuts.pool_cut()).filter(F.col("fulltext").isNotNull())
-    return M.fit_cached(Pipeline(stages=M.feature_stages(2, bounds=False)), pool), pool
+    # the edition type as one 0/1 column, also where only one type occurs
+    extra = SQLTransformer(statement="SELECT *, CAST(tipo_edicao <> 'Extra' AS DOUBLE) AS edition FROM __THIS__")
+    stages = M.feature_stages(2, bounds=False)[:4] + [
+        extra, VectorAssembler(inputCols=["tf", "edition"], outputCol="features")]
+    return M.fit_cached(Pipeline(stages=stages), pool), pool
 
 
 def _clusters(spark, sf):
     fm, pool = _pool_model(spark, sf)
-    rows = materialize(M.light(fm.transform(pool)).select("doc_id", "terms", "tipo_vec", "features"))
+    rows = materialize(M.light(fm.transform(pool)).select("doc_id", "terms", "edition", "features"))
     km = CL.fit_kmeans(rows.select("doc_id", "features"), K.KMEANS_K)
     own = km.transform(rows.select("doc_id", "features")).select("doc_id", F.col("cluster").alias("centre"))
     entries = CL.sparse_entries(spark, rows, fm, IO.scratch_dir(spark, "vocabulary"))
