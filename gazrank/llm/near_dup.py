@@ -203,7 +203,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
 
 
 def _links(nodes: DataFrame, threshold: float) -> DataFrame:
-    member = nodes.select("node", "total", "shared", F.explode(F.array_distinct("bands")).alias("bucket"))
+    member = nodes.select("node", "total", "shared", "bands", F.posexplode("bands").alias("band", "bucket"))
     sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     member = C.stored(member.join(sizes, "bucket"), "dup-members")
     company = member.groupBy("node").agg(F.sum("n").alias("company"))
@@ -212,22 +212,25 @@ def _links(nodes: DataFrame, threshold: float) -> DataFrame:
     fits = lambda x, y: possible(F.col(f"{x}.shared"), F.col(f"{x}.total"), F.col(f"{y}.shared"), F.col(f"{y}.total"), threshold)
     # The pivot of each row's bucket stays with the row: the second step needs it again.
     member = C.stored(member.join(pivot.select("bucket", "p"), "bucket").select(
-        "bucket", F.struct("node", "total", "shared").alias("m"), "p"), "dup-pivots")
+        "bucket", "band", F.struct("node", "total", "shared", "bands").alias("m"), "p"), "dup-pivots")
     ordered = [F.least("m.node", "o.node").alias("a"), F.greatest("m.node", "o.node").alias("b")]
     tested = C.stored(member.withColumnRenamed("p", "o").filter((F.col("m.node") != F.col("o.node")) & fits("m", "o"))
                       .select(*ordered).distinct(), "dup-pairs")
     links = C.stored(verify(tested, nodes, threshold), "dup-links")
     # Members outside their pivot's class, against all members of other classes.
     found = components(links)
-    classed = (member.select("bucket", "m", F.col("p.node").alias("pivot"), F.col("m.node").alias("node"))
-               .join(found, "node", "left").select("bucket", "m", "pivot", F.coalesce("root", "node").alias("class"))
+    classed = (member.select("bucket", "band", "m", F.col("p.node").alias("pivot"), F.col("m.node").alias("node"))
+               .join(found, "node", "left").select("bucket", "band", "m", "pivot", F.coalesce("root", "node").alias("class"))
                .join(found.withColumnsRenamed({"node": "pivot", "root": "proot"}), "pivot", "left")
                .withColumn("outside", F.coalesce("proot", "pivot") != F.col("class")))
     classed = C.stored(classed, "dup-classed")
-    mixed = classed.filter("outside").select("bucket", "m", F.col("class").alias("mclass"))
+    mixed = classed.filter("outside").select("bucket", "band", "m", F.col("class").alias("mclass"))
     others = (classed.join(mixed.select("bucket").distinct(), "bucket", "left_semi")
               .select("bucket", F.col("m").alias("o"), F.col("class").alias("oclass")))
-    rest = (mixed.join(others, (mixed["bucket"] == others["bucket"]) & (F.col("mclass") != F.col("oclass")) & fits("m", "o"))
+    # A pair that shares several buckets comes from the first of them only.
+    fresh = F.forall(F.zip_with(F.slice("m.bands", F.lit(1), F.col("band")), F.slice("o.bands", F.lit(1), F.col("band")),
+                                lambda x, y: x != y), lambda x: x)
+    rest = (mixed.join(others, (mixed["bucket"] == others["bucket"]) & (F.col("mclass") != F.col("oclass")) & fits("m", "o") & fresh)
             .select(*ordered).distinct().join(tested, ["a", "b"], "left_anti"))
     return links.unionByName(C.stored(verify(rest, nodes, threshold), "dup-links"))
 
