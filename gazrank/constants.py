@@ -160,6 +160,9 @@ SIM_THRESHOLD = 0.30
 TEXT_LIMIT = 49990
 POOL_MAX_DATE = "2020-04-25"
 MONITOR_DATE = "2021-01-01"
+DAS4_MAX_DATE = "2020-06-15"
+DAS4_PATTERN = r"DAS[ -]*?[0123]{3}\.4"
+DAS6_PATTERN = r"DAS[ -]*?[0123]{3}\.6"
 DRIFT_BATCH = 200
 BOOTSTRAP_TRIALS = 10
 

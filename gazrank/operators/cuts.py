@@ -117,17 +117,19 @@ def catastrophic_errors(df: DataFrame, label: str = "relevancia", score: str = "
     return df.withColumn("error_kind", kind).filter(F.col("error_kind").isNotNull())
 
 
-DAS4_PATTERN = r"DAS[ -]*?[0123]{3}\.4"
-
-
-def das4_relabel_candidates(df: DataFrame, before: str = "2020-06-15",
+def das4_relabel_candidates(df: DataFrame, before: str = K.DAS4_MAX_DATE,
                             min_label: int = 3) -> DataFrame:
     """FLT10: old articles naming a DAS-4 post (case-sensitive) with label >= 3."""
     return (df.filter(F.col("data_pub") < before)
-            .filter(F.col("fulltext").rlike(DAS4_PATTERN))
+            .filter(F.col("fulltext").rlike(K.DAS4_PATTERN))
             .filter(F.col("relevancia") >= min_label))
 
 
+def post_with_label(df: DataFrame, pattern: str = K.DAS4_PATTERN, label: int = 5) -> DataFrame:
+    """FLT10, first look: articles of one label (the top one) that name a post (DAS-4)."""
+    return df.filter((F.col("relevancia") == label) & F.col("fulltext").rlike(pattern))
+
+
 def text_limit(col: str = "fulltext", limit: int = K.TEXT_LIMIT) -> Column:
     """PRJ2: long texts are cut to ``limit`` characters plus '...'."""
     c = F.col(col)

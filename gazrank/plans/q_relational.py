@@ -115,6 +115,18 @@ def flt10(spark, sf):
     return cuts.das4_relabel_candidates(base(spark, sf)).select("doc_id", "relevancia", "data_pub")
 
 
+@register("flt10_das4_top_label",
+          lambda: sql(" UNION ALL ".join(
+              f"SELECT doc_id, secao, data_pub, {n} AS post FROM classified WHERE relevancia = 5 "
+              f"AND regexp_matches(fulltext, '{p}')" for n, p in ((4, K.DAS4_PATTERN), (6, K.DAS6_PATTERN)))))
+def flt10_top(spark, sf):
+    """Top-label articles that name a DAS-4 post, and a DAS-6 post (which the test tables have)."""
+    a = tables.classified(articles(spark, sf))
+    by = [cuts.post_with_label(a, p).select("doc_id", "secao", "data_pub", F.lit(n).alias("post"))
+          for n, p in ((4, K.DAS4_PATTERN), (6, K.DAS6_PATTERN))]
+    return by[0].unionByName(by[1])
+
+
 @register("flt10_nomear_filter",
           lambda: sql("SELECT doc_id FROM base WHERE contains(lower(fulltext), 'nomear')"))
 def flt10b(spark, sf):

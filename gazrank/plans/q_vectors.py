@@ -302,6 +302,36 @@ def sim3(spark, sf):
     return nearest_train_articles(spark, sf)
 
 
+@register("sim3_match_urls",
+          lambda: sql("SELECT val_id, train_id, CAST(rnk AS INT) AS rank, round(sim, 6) AS sim, b.url AS train_url FROM ("
+                      "SELECT *, row_number() OVER (PARTITION BY val_id ORDER BY sim DESC, train_id) AS rnk "
+                      "FROM sims WHERE sim > 0.3) s JOIN splits b ON b.doc_id = s.train_id WHERE rnk <= 10",
+                      _sql_sec2(_SQL_PAIRS)))
+def sim3_urls(spark, sf):
+    """SIM3 audit as it is read: each match with its url."""
+    top = nearest_train_articles(spark, sf).select("val_id", "train_id", "rank", "sim")
+    urls = splits(spark, sf).select(F.col("doc_id").alias("train_id"), F.col("url").alias("train_url"))
+    return top.join(urls, "train_id")
+
+
+_SQL_SELF = ("pairs AS (SELECT a.doc_id AS doc_id, b.doc_id AS other_id, count(*) AS ov FROM tv a "
+             "JOIN tv b ON a.term = b.term WHERE a.split = 'train' AND b.split = 'train' AND a.doc_id <> b.doc_id GROUP BY 1, 2), "
+             "sims AS (SELECT doc_id, other_id, ov / sqrt(la.n * lb.n) AS sim FROM pairs "
+             "JOIN len la USING (doc_id) JOIN len lb ON lb.doc_id = other_id)")
+
+
+@register("sim3_train_audit",
+          lambda: sql("SELECT doc_id, other_id, CAST(rnk AS INT) AS rank, round(sim, 6) AS sim FROM ("
+                      "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, other_id) AS rnk "
+                      "FROM sims WHERE sim > 0.3) WHERE rnk <= 10", _sql_sec2(_SQL_SELF)))
+def sim3_train_audit(spark, sf):
+    """SIM3 within the training split: each article's ten most similar others."""
+    _, _, tr = val_train_sets(spark, sf)
+    top = SIM.top_k_similar(tr, tr.withColumnRenamed("doc_id", "other_id"), "doc_id", "other_id", 10,
+                            K.SIM_THRESHOLD, same_collection=True)
+    return top.select("doc_id", "other_id", F.col("rank").cast("int").alias("rank"), F.round("sim", 6).alias("sim"))
+
+
 @register("sim3_match_class_histogram",
           lambda: sql("SELECT val_id, s.relevancia, CAST(count(*) AS BIGINT) AS n_matches FROM "
                       "(SELECT val_id, train_id, relevancia FROM sims JOIN splits ON doc_id = train_id "

@@ -50,6 +50,38 @@ def test_cargo_tokens(spark):
     assert _one(spark, T.tokenize_cargos, "ácsp ") == "ácsp "
 
 
+POSTS = [
+    ("x DAS 101.6 y", "x  xxdasseisxx  y"), ("DAS-102.5", " xxdascincoxx "), ("das 103.4", " xxdasquatroxx "),
+    ("das101.3", " xxdastresxx "), ("DAS--101.2", " xxdasdoisxx "), ("das 101.1", " xxdasumxx "),
+    ("a CA I b", "a xxcaixx b"), ("a CA-II b", "a xxcaiixx b"), ("CA-APO 1", " xxcaapoumxx "), ("ca-apo-2", " xxcaapodoisxx "),
+    ("a CDT b", "a xxcdtxx b"), ("CCD I b", " xxccdixx b"), ("CCD-II b", " xxccdiixx b"), ("CGE I b", " xxcgeixx b"),
+    ("CGE II b", " xxcgeiixx b"), ("CGE-III b", " xxcgeiiixx b"), ("CGE IV b", " xxcgeivxx b"), ("CGE V b", " xxcgevxx b"),
+    ("CPAGLO", " xxcpagloxx "), ("a CSP b", "a xxcspxx b"), ("a CSU b", "a xxcsuxx b"), ("a CD-1 b", "a xxcdumxx b"),
+    ("a CD.2 b", "a xxcddoisxx b"), ("a NE b", "a xxnexx b"), ("CETG IV b", " xxcetgivxx b"), ("CETG-V b", " xxcetgvxx b"),
+    ("CETG VI b", " xxcetgvixx b"), ("CETG VII b", " xxcetgviixx b"), ("a FDS 1 b", "a xxfdsumxx b"),
+    ("FCPE 101.5", " xxfcpecincoxx "), ("FPE 101.4", " xxfcpequatroxx "), ("fcpe-102.3", " xxfcpetresxx "),
+    ("FCPE101.2", " xxfcpedoisxx "), ("FCPE 101.1", " xxfcpeumxx "), ("Natureza Especial", " xxnaturezaespecialxx "),
+    ("CNE 07", " xxcne07xx "),
+]
+
+
+def test_every_post_pattern(spark):
+    """Each pattern alone on a post of its kind, written out by hand."""
+    assert len(POSTS) == len(K.CARGO_PATTERNS) == 36
+    for (src, want), pattern in zip(POSTS, K.CARGO_PATTERNS, strict=True):
+        assert _one(spark, lambda c, p=pattern: T.tokenize_cargos(c, [p]), src) == want, pattern
+
+
+def test_adjacent_mentions_share_their_separator(spark):
+    ne = [p for p in K.CARGO_PATTERNS if p[1] == " xxnexx "]
+    assert _one(spark, lambda c: T.tokenize_cargos(c, ne), "a NE NE b") == "a xxnexx NE b"
+
+
+def test_each_money_pattern(spark):
+    for src, want in (("R$ 10,00 x", "R$  xxv"), ("10,00 reais x", " xxv"), ("10,00 x", " xxv")):
+        assert _one(spark, T.values_to_token, src).startswith(want)
+
+
 def test_certified_and_hash(spark):
     assert _one(spark, T.clean_certified, "Versão certificada Diário Página: 12 Órgão: Texto") == "Texto"
     url = "http://www.in.gov.br/web/dou/-/doc-1"
