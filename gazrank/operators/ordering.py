@@ -51,7 +51,9 @@ def with_position(df: DataFrame, order: list, group: list[str] | None = None,
     # Materialised once: range bounds come from sampling, and two
     # re-executions may sample differently, so both uses below must read
     # the same partitions.
-    r = materialize(df.repartitionByRange(p, *keys).sortWithinPartitions(*keys))
+    # The range sampling reads its input too; the narrow input is written
+    # first so that whatever made it (joins, a model) runs once.
+    r = materialize(materialize(df).repartitionByRange(p, *keys).sortWithinPartitions(*keys))
     r = (r.withColumn("_pid", F.spark_partition_id())
          .withColumn("_lidx", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
     aggs = [F.count(F.lit(1)).alias("_n"), F.min("_lidx").alias("_first")]
