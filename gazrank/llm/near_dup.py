@@ -188,6 +188,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
                          pa.array(whole), pa.array(common)], names=schema.fieldNames())
 
     signed = C.stored(B.with_totals(blocks, counts, 1, sign, schema), "dup-signed")
+    for done in (blocks, counts):  # nothing reads them from here on
+        C.drop_stored(done)
     nodes = C.stored(signed.filter("bands is not null").groupBy("node").agg(
         *[F.first(c).alias(c) for c in ("bands", "items", "weights", "total", "shared")]), "dup-nodes")
     links = _links(nodes, threshold)
