@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = C.stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
-    while True:
+    while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         large = (both.join(least, "a").filter("b > a")
@@ -32,4 +32,5 @@ def components(edges: DataFrame) -> DataFrame:
         now = C.stored(small, "edges")
         before, state = state, _state(now)
         if state == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            break
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
