@@ -136,13 +136,13 @@ def vec2(spark, sf):
                       "round(1.0 / count(*), 6) AS max_l1_plain FROM w1 GROUP BY doc_id",
                       _sql_sec1_tfidf()))
 def vec3(spark, sf):
-    """VEC3 search options: idf + l2 norm, and plain binary + l1 norm."""
+    """VEC3 search options: idf + l2 norm, and plain binary + l1 norm, from one pass (a row's norms are
+    sums over its own entries; :func:`vectorize.tfidf` gives the normed entries themselves)."""
     _, terms, vidf = _sec1_tfidf(spark, sf)
-    l2 = V.tfidf(terms, vidf, "doc_id", use_idf=True, norm="l2").groupBy("doc_id").agg(
-        F.round(F.max("value"), 6).alias("max_l2_idf"))
-    l1 = V.tfidf(terms, vidf, "doc_id", use_idf=False, norm="l1").groupBy("doc_id").agg(
-        F.round(F.max("value"), 6).alias("max_l1_plain"))
-    return l2.join(l1, "doc_id")
+    w = V.tfidf(terms, vidf, "doc_id")
+    return w.groupBy("doc_id").agg(
+        F.round(F.max("value") / F.sqrt(F.sum(F.col("value") ** 2)), 6).alias("max_l2_idf"),
+        F.round(F.lit(1.0) / F.count(F.lit(1)), 6).alias("max_l1_plain"))
 
 
 def _kw_sql():
