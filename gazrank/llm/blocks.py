@@ -88,7 +88,8 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def build(docs: DataFrame, keys: list[Column], text: Column, kind: Column, label: str) -> DataFrame:
+def build(docs: DataFrame, keys: list[Column], text: Column, kind: Column, label: str,
+          block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The written table of blocks of ``docs``; a block's documents are of one ``kind`` (a small int)."""
     source = docs.select(kind.cast("int").alias("kind"), *[k.alias(f"k{i}") for i, k in enumerate(keys)],
                          text.cast("string").alias("t"))
@@ -100,7 +101,7 @@ def build(docs: DataFrame, keys: list[Column], text: Column, kind: Column, label
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in X.chunks(batch, at, BLOCK_BYTES):
+            for part in X.chunks(batch, at, block_bytes):
                 kinds = part.column(0).to_numpy(zero_copy_only=False)
                 for k in np.unique(kinds).tolist():
                     rows = part.filter(pa.array(kinds == k))

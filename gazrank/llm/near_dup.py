@@ -40,6 +40,8 @@ from .components import components
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 3
+#: Bytes of text to a block; a task holds the weighted 5-grams of one block.
+BLOCK_BYTES = 6_000_000
 
 
 def shingles(b: B.Block, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +120,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.BinaryType()) for c in ("a", "b")])
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             ok = []
             for _, _, ia, wa, ta, ib, wb, tb in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 _, x, y = np.intersect1d(B.unpack_sorted(ia), B.unpack_sorted(ib), assume_unique=True, return_indices=True)
@@ -143,7 +145,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
     * a similarity equal to the threshold is a link.
     * an empty table gives an empty table; extra columns are not looked at.
     """
-    blocks = B.build(docs, [F.col(id_col), *C.row_key(F.col(id_col), F.col(text))], F.col(text), F.lit(0), "dup-blocks")
+    blocks = B.build(docs, [F.col(id_col), *C.row_key(F.col(id_col), F.col(text))], F.col(text), F.lit(0), "dup-blocks",
+                     BLOCK_BYTES)
     total = blocks.agg(F.sum(F.size("k0"))).first()[0] or 0
     counts = B.count_items(blocks, _items, 1, lambda items, totals: [], "dup-counts")
     schema = T.StructType([

@@ -91,23 +91,16 @@ def test_unigram_models_take_the_best_path(model, texts):
     units, _, _ = P.split([t for t in texts if t], re.compile(uni.unit_pattern(), re.S))
     units = units[:400] + [u for u in units if len(u) > 64]
     ids, counts = S.encode_units(units, m)
-    at, unk = 0, min(table.values()) - P.UNK_PENALTY
+    at, unk, look = 0, min(table.values()) - P.UNK_PENALTY, C.Lookup(uni)
     for u, n in zip(units, counts.tolist(), strict=True):
         got = [uni.text[i] for i in ids[at:at + n]]
         at += n
-        score = C.path_counts(u, table, _look(uni), True)[1]
+        score = C.path_counts(u, table, look, True)[1]
         if None not in got:
             assert "".join(got) == u and sum(table[p] for p in got) == pytest.approx(score)
     assert unk < 0
 
 
-_LOOK = {}
-
-
-def _look(model):
-    return _LOOK.setdefault(id(model), C.Lookup(model))
-
-
 class Text(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
