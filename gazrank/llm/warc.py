@@ -165,7 +165,8 @@ def derivatives(source: DataFrame, keep: list[str] | None = None, fields: list[s
 
 def write_warc(made: DataFrame, path: str) -> None:
     """Gzipped WARC files of whole records, metadata before conversion; needs the two record columns."""
-    records = made.select(F.decode(F.explode(F.array("metadata_record", "conversion_record")), "utf-8").alias("r"))
+    records = made.select(F.explode(F.array("metadata_record", "conversion_record")).alias("b")).select(
+        F.col("b").cast("string").alias("r"))
     # Every record ends with two line ends; the writer puts them.
     records.select(F.expr("left(r, length(r) - 4)").alias("value")).write.option(
         "lineSep", CRLF * 2).option("compression", "gzip").text(path)
