@@ -213,6 +213,17 @@ def test_repeated_passages(spark):
     assert S.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_every_place_of_a_passage(spark):
+    rng = random.Random(22)
+    long, line = prose(60, rng), prose(12, rng)
+    late = line + " " + prose(43, rng)
+    rows = [prose(100, rng) + " " + long + " " + prose(50, rng), prose(30, rng) + " " + long + " " + prose(70, rng) + " " + long,
+            prose(20, rng) + " " + late, line + " " + prose(60, rng) + " " + late + " " + prose(9, rng)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.first_word, r.end_word, r.other_id) for r in S.repeated_passages(docs).collect())
+    assert got == [(0, 100, 160, 1), (1, 30, 90, 0), (1, 160, 220, 0), (2, 20, 75, 3), (3, 72, 127, 2)]
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     out = corpus_pipeline.run(spark, sf).cache()
