@@ -224,6 +224,21 @@ def test_every_place_of_a_passage(spark):
     assert got == [(0, 100, 160, 1), (1, 30, 90, 0), (1, 160, 220, 0), (2, 20, 75, 3), (3, 72, 127, 2)]
 
 
+def test_passages_beside_common_lines(spark, monkeypatch):
+    # Either line is common, so that the groups' first texts hold one line only.
+    rng = random.Random(23)
+    want, rows = set(), []
+    for _ in range(12):
+        lines = [prose(30, rng), prose(30, rng)]
+        want |= {len(rows), len(rows) + 1}
+        rows += [" ".join([prose(20, rng), *lines, prose(20, rng)]) for _ in range(2)]
+        rows += [" ".join([prose(40, rng), line, prose(40, rng)]) for line in lines for _ in range(8)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id for r in S.repeated_passages(docs).collect()} == want
+    monkeypatch.setattr(S, "FEW", 0)  # every group counts as large
+    assert {r.doc_id for r in S.repeated_passages(docs).collect()} == want
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     out = corpus_pipeline.run(spark, sf).cache()
