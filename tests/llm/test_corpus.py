@@ -239,6 +239,19 @@ def test_passages_beside_common_lines(spark, monkeypatch):
     assert {r.doc_id for r in S.repeated_passages(docs).collect()} == want
 
 
+def test_passages_near_the_threshold(spark):
+    rng = random.Random(24)
+    rows = []
+    for _ in range(150):
+        words = prose(55, rng).split()
+        rows.append(" ".join([prose(30, rng), *words, prose(30, rng)]))
+        words[27] = "changed"
+        rows.append(" ".join([prose(25, rng), *words, prose(35, rng)]))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in S.repeated_passages(docs).collect()}
+    assert set(got) == set(range(300)) and all(0.8 <= r.similarity < 1 for r in got.values())
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     out = corpus_pipeline.run(spark, sf).cache()
