@@ -2,10 +2,11 @@
 
 Method: numbers, units next to them and capitalised words of documents and
 items become typed placeholders. Windows of ``WINDOW`` template tokens are
-hashed and joined by hash. Windows that line up (same document, item and
-shift) are put together position by position; what stood in the item's slots
-must map one to one to what stands in the document's. So an item is found as
-it is, and with other numbers, units or names.
+hashed and joined by hash. So are the windows of the tokens as they are, in lower case; they
+find verbatim copies whatever their slots and capitals are. Windows that line up (same document, item and
+shift) are put together position by position; what stands in the item's slots
+is mapped to what stands in the document's, and slots that disagree do not count.
+So an item is found as it is, and with other numbers, units or names.
 
 Scale: the items' window hashes are counted first. Up to ``max_broadcast`` of
 them (8 bytes each) go to the tasks, which then emit only windows that some
@@ -47,8 +48,8 @@ _NUMBER, _UNIT, _NAME = (np.uint64(xxhash.xxh64_intdigest(x, seed=1)) for x in (
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def canonical(texts: list) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens, token of each place, its template hash, whether it is a slot, tokens of each text."""
+def canonical(texts: list) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens, token of each place, its template hash, its own hash, whether it is a slot, tokens of each text."""
     found = [TOKEN.findall(t) if t else [] for t in texts]
     counts = np.fromiter(map(len, found), np.int64, len(found))
     tokens, places = P.numbered([x for f in found for x in f])
@@ -65,19 +66,23 @@ def canonical(texts: list) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarra
     signs = np.array([not x[0].isalnum() for x in tokens], bool)[places]
     unit = unit & (before | (after & signs))
     template = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, literal)))
-    return tokens, places, template, number | unit | name, counts
+    return tokens, places, template, literal, number | unit | name, counts
 
 
-def window_hashes(template: np.ndarray, slot: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a window of ``n`` tokens starts, half of them literal at least, and the windows' hashes."""
+def window_hashes(template: np.ndarray, slot: np.ndarray | None, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a window of ``n`` tokens starts, and the windows' hashes.
+
+    With ``slot``, half of a window's tokens are literal at least; without, all are taken as they are.
+    """
     total = len(template) - n + 1
     if total <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.full(total, np.uint64(n))
+    h = np.full(total, np.uint64(n if slot is not None else n + 1000))
     slots = np.zeros(total, np.int64)
     for i in range(n):
         h = h * _BASE + (template[i:total + i] ^ template[i:total + i] >> np.uint64(31))
-        slots += slot[i:total + i]
+        if slot is not None:
+            slots += slot[i:total + i]
     left = np.repeat(np.cumsum(counts), counts) - np.arange(len(template))
     at = np.flatnonzero((left[:total] >= n) & (2 * slots <= n))
     return at, h[at].view(np.int64)
@@ -106,11 +111,11 @@ def windows(df: DataFrame, keep: list[str], text: str, lengths: list[int], only:
             seen[only & (1 << 20) - 1] = True
         for batch in batches:
             for part in X.chunks(batch, len(keep)):
-                tokens, places, template, slot, counts = canonical(part.column(len(keep)).to_pylist())
+                tokens, places, template, literal, slot, counts = canonical(part.column(len(keep)).to_pylist())
                 lower = np.array([x.lower() for x in tokens], object)
                 ends = np.cumsum(counts)
-                for n in lengths:
-                    at, h = window_hashes(template, slot, counts, n)
+                for n, values, flags in [(n, *x) for n in lengths for x in ((template, slot), (literal, None))]:
+                    at, h = window_hashes(values, flags, counts, n)
                     row = np.searchsorted(ends, at, "right")
                     if own_length:
                         ok = (counts[row] == n) | ((n == WINDOW) & (counts[row] > n))

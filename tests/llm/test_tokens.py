@@ -182,3 +182,16 @@ def test_decontamination(spark):
     assert left == [12, 14, 16, 17, 18]
     assert D.find_leaks(docs.limit(0), items).count() == 0
     assert D.find_leaks(docs, items.limit(0)).count() == 0
+
+
+def test_items_of_slots_only(spark):
+    # Numbers, names and capitals leave no template window; the copies are verbatim but for their case.
+    texts = ["12 7 19 44 3 81 26 5 90 17 33 8 61 2", "Anna Bella Carla Dora Emma Fiona Greta Hanna Ida Julia Karla Lena Mona Nora",
+             "WHICH OF THESE RIVERS FLOWS THROUGH THE OLD TOWN BEFORE IT REACHES THE SEA", "4 8 15 16 23 42"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"some words before {t.lower()} and some after") for i, t in enumerate(texts)]
+                                 + [(9, "some words and 12 7 19 and 4 8 15 16 23 only")], "doc_id long, text string")
+    for most in (4_000_000, 0):
+        got = {(r.doc_id, r.item_id): r for r in D.find_leaks(docs, items, max_broadcast=most).collect()}
+        assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3)}
+        assert all(r.n_tokens == r.item_tokens and r.n_changed == 0 for r in got.values())
