@@ -17,6 +17,7 @@ the same result. Nothing is grouped but by document, item and shift.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,6 +139,55 @@ def windows(df: DataFrame, keep: list[str], text: str, lengths: list[int], only:
     return source.mapInArrow(run, schema).toDF(*keep, *[f.name for f in fields])
 
 
+def judge(tokens: list[tuple[int, str, str, bool]], need: int) -> tuple[int, int, int] | None:
+    """Tokens found in line, slots, and slots with another value, or None if the line is no leak.
+
+    ``tokens``: (place, item's token, document's token, slot). An item's value stands for the document's
+    value that it meets most often; other slots of it do not count, nor do changed ones whose new
+    value stands unchanged elsewhere. Two values that became one are a leak only
+    beside ``need`` equal tokens on end.
+    """
+    tokens = sorted(set(tokens))
+    votes: dict[str, Counter] = defaultdict(Counter)
+    for _, i, d, slot in tokens:
+        if slot:
+            votes[i][d] += 1
+    stands = {i: min(v, key=lambda d: (-v[d], d != i, d)) for i, v in votes.items()}
+    same = {i for i, d in stands.items() if i == d}
+    changed = {i: d for i, d in stands.items() if i != d and d not in same}
+    found = {at for at, i, d, slot in tokens if i == d or (slot and changed.get(i) == d)}
+    if len(found) < need:
+        return None
+    if len(set(changed.values())) < len(changed):
+        longest = run = 0
+        last = None
+        for at in sorted({at for at, i, d, _ in tokens if i == d}):
+            run = run + 1 if last is not None and at == last + 1 else 1
+            longest, last = max(longest, run), at
+        if longest < need:
+            return None
+    return len(found), len({t[0] for t in tokens if t[3]}), sum(t[3] and t[1] != t[2] for t in tokens)
+
+
+def judged(lines: DataFrame) -> DataFrame:
+    """The lines that are leaks, with ``found``, ``n_slots`` and ``n_changed``; a line is no longer than its item."""
+    keep = [c for c in lines.columns if c != "x"]
+    new = ["found", "n_slots", "n_changed"]
+    schema = T.StructType([*lines.select(*keep).schema.fields, *[T.StructField(c, T.LongType()) for c in new]])
+    size = keep.index("n_tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [judge([(x["at"], x["i"], x["d"], x["slot"]) for x in xs], min(MIN_TOKENS, n))
+                   for xs, n in zip(batch.column(len(keep)).to_pylist(), batch.column(size).to_pylist(), strict=True)]
+            ok = pa.array([g is not None for g in got], pa.bool_())
+            rows = [g for g in got if g is not None]
+            yield pa.RecordBatch.from_arrays([*[c.filter(ok) for c in batch.columns[:-1]],
+                                              *[pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]], names=keep + new)
+
+    return lines.select(*keep, "x").mapInArrow(run, schema)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id",
                item_text: str = "text", max_broadcast: int = 4_000_000) -> DataFrame:
     """One row for each document (its key ``rk1, rk2`` and ``doc_id``) and item (``item_id``) that it holds.
@@ -170,14 +220,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
                                              lambda x, i: F.struct((F.col("ipos") + i).alias("at"), x["tokens"].alias("d"),
                                                                    x["itokens"].alias("i"), x["slots"].alias("slot")))).alias("x"))
     each = each.select(*line, "x.*").distinct()
-    pair = F.when(F.col("slot"), F.struct("i", "d"))
-    lines = each.groupBy(*line).agg(
-        F.countDistinct("at").alias("found"), F.countDistinct(F.when(F.col("slot"), F.col("at"))).alias("n_slots"),
-        F.countDistinct(pair).alias("maps"), F.countDistinct(F.when(F.col("slot"), F.col("i"))).alias("from"),
-        F.countDistinct(F.when(F.col("slot"), F.col("d"))).alias("to"),
-        F.count_if(F.col("slot") & (F.col("i") != F.col("d"))).alias("n_changed"))
-    good = lines.filter((F.col("maps") == F.col("from")) & (F.col("maps") == F.col("to"))
-                        & (F.col("found") >= F.least(F.lit(MIN_TOKENS), F.col("n_tokens"))))
+    lines = each.groupBy(*line).agg(F.collect_list(F.struct("at", "i", "d", "slot")).alias("x")).filter(
+        F.size("x") >= F.least(F.lit(MIN_TOKENS), F.col("n_tokens")))
+    good = judged(lines)
     best = good.groupBy("rk1", "rk2", "doc_id", "item_id").agg(F.min(F.struct(
         (-F.col("found")).alias("f"), "n_changed", "pos", F.col("n_tokens").alias("item_tokens"), "n_slots")).alias("b"))
     return best.select("rk1", "rk2", "doc_id", "item_id", "b.pos", (-F.col("b.f")).alias("n_tokens"), "b.item_tokens",

@@ -195,3 +195,19 @@ def test_items_of_slots_only(spark):
         got = {(r.doc_id, r.item_id): r for r in D.find_leaks(docs, items, max_broadcast=most).collect()}
         assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3)}
         assert all(r.n_tokens == r.item_tokens and r.n_changed == 0 for r in got.values())
+
+
+def test_one_slot_that_disagrees(spark):
+    item = ("The clerk had 12 boxes and the clerk put 12 more boxes beside them until the shelf in the hall was full "
+            "and then 30 boxes were carried down to the yard behind the house where nobody looked for them")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, item.replace("put 12 more", "put 13 more")),  # one of two equal values
+        (2, item.replace("had 12", "had 30").replace("put 12", "put 30")),  # 12 became the value that stands for 30
+        (3, item.replace("12", "7").replace("30", "9")),
+        (4, item.replace("The clerk had 12", "A clerk had 15"))], "doc_id long, text string")
+    got = {r.doc_id: r for r in D.find_leaks(docs, items).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    n = len(item.split())
+    assert (got[1].n_tokens, got[1].n_changed) == (n - 1, 1) and (got[2].n_tokens, got[2].n_changed) == (n - 2, 2)
+    assert (got[3].n_tokens, got[3].n_changed) == (n, 3) and got[4].n_tokens >= n - 2
