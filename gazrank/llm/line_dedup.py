@@ -5,7 +5,7 @@ the documents per hash (pre-aggregated before the shuffle), keep the hashes at
 or over the threshold, find the positions where they occur, and rebuild every
 text from its remaining lines by position.
 
-Scale: the count shuffles one row per distinct hash and map task. The frequent
+Scale: the count shuffles one row per distinct hash and map task, or with ``count_ids`` one per id and hash. The frequent
 hashes are a written table, so Spark broadcasts them only if their files are
 under its own threshold, and otherwise joins by hash (a hot line's rows are
 then split by the adaptive skew join). Only positions are grouped, never
@@ -33,28 +33,30 @@ def _hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2")]
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text") -> DataFrame:
-    """Hashes (h1, h2) of the keys of ``min_chars`` code points or more in ``min_docs`` rows or more."""
+def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text",
+                   id_col: str | None = None) -> DataFrame:
+    """Hashes (h1, h2) of the keys of ``min_chars`` code points or more in ``min_docs`` rows (with ``id_col``: ids) or more."""
     keys = F.array_distinct(F.transform(text_lines(F.col(text)), line_key))
-    return (docs.select(F.explode(keys).alias("k"))
-            .filter(F.char_length("k") >= min_chars)
-            .select(*_hashes(F.col("k")))
+    ids = [F.col(id_col).alias("id")] if id_col else []
+    found = (docs.select(*ids, F.explode(keys).alias("k")).filter(F.char_length("k") >= min_chars)
+             .select(*["id"] * len(ids), *_hashes(F.col("k"))))
+    return ((found.distinct() if ids else found)
             .groupBy("h1", "h2").agg(F.count("*").alias("n"))
             .filter(F.col("n") >= min_docs).select("h1", "h2"))
 
 
 def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
-                        id_col: str = "doc_id", text: str = "text") -> DataFrame:
+                        id_col: str = "doc_id", text: str = "text", count_ids: bool = False) -> DataFrame:
     """Input columns plus ``n_lines``, ``n_dropped`` and ``kept_text``.
 
     * null or empty text: one empty line; ``kept_text`` is the empty string.
-    * every row counts as a document, so repeated rows count each, and each
-      row comes back; a null id is a value like any other.
+    * every row counts as a document, so repeated rows count each (with ``count_ids``
+      every id, so they count once), and each row comes back; a null id is a value like any other.
     * keys shorter than ``min_chars`` are never dropped.
     * an empty table gives an empty table; input columns named like the new
       ones are replaced by them, all others pass through.
     """
-    frequent = C.stored(frequent_lines(docs, min_docs, min_chars, text), "lines")
+    frequent = C.stored(frequent_lines(docs, min_docs, min_chars, text, id_col if count_ids else None), "lines")
     keyed = docs.select(*C.row_key(F.col(id_col), F.col(text)), F.struct(*docs.columns).alias("row"))
     at = (keyed.select("rk1", "rk2", F.posexplode(F.transform(text_lines(F.col("row")[text]), line_key)).alias("pos", "k"))
           .filter(F.char_length("k") >= min_chars)

@@ -43,7 +43,7 @@ def op4_lm_scoring(spark, sf_dir):
 
 
 def op5_line_dedup(spark, sf_dir):
-    out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1, count_ids=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -128,3 +128,9 @@ def test_mined_rules_against_counting(spark):
 def test_hash_of_kept_text(spark):
     out = line_dedup.drop_repeated_lines(spark.createDataFrame([(1, None)], "doc_id long, text string"))
     assert out.select(F.sha2("kept_text", 256)).first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+def test_line_dedup_counts_ids_once(spark):
+    rows = [(1, "own line")] * 10 + [(i, "shared line") for i in range(2, 5)]
+    out = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=3, count_ids=True).collect()
+    assert len(out) == 13 and {(r.doc_id, r.kept_text) for r in out} == {(1, "own line"), (2, ""), (3, ""), (4, "")}
