@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (decontamination, line_dedup, lm_scoring, near_dup, pieces, quality_rules, sentencepiece_codec,
-               substring_dedup, token_counts, url_rules, warc)
+from . import (common, conversation_repair, decontamination, line_dedup, lm_scoring, near_dup, periodic_runs, pieces,
+               quality_rules, sentencepiece_codec, substring_dedup, token_counts, url_rules, warc)
 
 #: Parameter of the contract: the list rules.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -71,6 +71,53 @@ def op10_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), pieces.load(PIECE_MODEL), keep=["doc_id"], check=True)
 
 
+def damaged(rows):
+    """Rows of conversations with the contract's damage, by crc32 of ``conv_id:turn``."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    way = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn"))) % 20
+    marked = rows.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), way.alias("way")).filter("way <> 0")
+    return marked.select(
+        "conv_id", "turn", F.when(F.col("way") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("way") == 1, "").when(F.col("way") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(F.col("way") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    made = conversation_repair.report(damaged(rows))
+    every = rows.select(F.col("conv_id").alias("every")).distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(made, F.col("every").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("every").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def periodic(docs):
+    """Documents with the contract's planted periods, by crc32 of ``doc_id``."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.withColumn("h", h).withColumn("g", F.floor(F.col("h") / 10)).withColumn(
+        "words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(common.WORD), F.lit(0))))
+    sized = chosen.withColumn("n", F.size("words").cast("long")).withColumn(
+        "a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn(
+        "p", F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8)))
+    a, p = F.col("a"), F.col("p")
+    words = F.transform("words", lambda w, i: F.when(i >= a, F.get("words", (a + (i - a) % p).cast("int"))).otherwise(w))
+    return sized.select("doc_id", F.when(F.col("n") > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    out = periodic_runs.find_runs(periodic(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return out.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(F.lit(1000) * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 OP5_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos
@@ -85,5 +132,5 @@ FROM keyed LEFT JOIN often ON keyed.k = often.k GROUP BY doc_id
 """
 
 QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_url_rules, op3_substring_dedup, op4_lm_scoring, op5_line_dedup, op6_decontamination, op7_token_counts, op8_quality_rules,
-                                  op9_minhash_near_dedup, op10_sentencepiece)}
+                                  op9_minhash_near_dedup, op10_sentencepiece, op12_conversation_repair, op13_periodic_runs)}
 ORACLES = {"op5_line_dedup": OP5_SQL}
