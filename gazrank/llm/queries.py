@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import (common, conversation_repair, decontamination, line_dedup, lm_scoring, near_dup, periodic_runs, pieces,
-               quality_rules, sentencepiece_codec, substring_dedup, token_counts, url_rules, warc)
+               quality_rules, repeated_bytes, sentencepiece_codec, substring_dedup, token_counts, url_rules, warc)
 
 #: Parameter of the contract: the list rules.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -71,6 +71,13 @@ def op10_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), pieces.load(PIECE_MODEL), keep=["doc_id"], check=True)
 
 
+def op11_repeated_bytes(spark, sf_dir):
+    out = repeated_bytes.drop_repeated_bytes(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def damaged(rows):
     """Rows of conversations with the contract's damage, by crc32 of ``conv_id:turn``."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -132,5 +139,5 @@ FROM keyed LEFT JOIN often ON keyed.k = often.k GROUP BY doc_id
 """
 
 QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_url_rules, op3_substring_dedup, op4_lm_scoring, op5_line_dedup, op6_decontamination, op7_token_counts, op8_quality_rules,
-                                  op9_minhash_near_dedup, op10_sentencepiece, op12_conversation_repair, op13_periodic_runs)}
+                                  op9_minhash_near_dedup, op10_sentencepiece, op11_repeated_bytes, op12_conversation_repair, op13_periodic_runs)}
 ORACLES = {"op5_line_dedup": OP5_SQL}
