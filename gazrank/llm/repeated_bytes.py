@@ -14,7 +14,7 @@ longer grams, at last by whole windows, where equal anchors are equal strings.
 
 Scale: all steps are joins and counts on 64-bit keys, pre-aggregated, over written tables; texts move
 once to cut the pieces that are compared and once for the result. A task's collections are taken in
-batches of about ``BATCH`` pieces, so the sequences are a few hundred KB and stay in memory; the original
+batches of about ``BATCH`` pieces, cut to the parts whose longer anchors their collection has twice, so the sequences are a few hundred KB and stay in memory; the original
 keeps them in files because its collection is the whole corpus.
 """
 
@@ -49,14 +49,18 @@ def gram_sizes(length: int) -> tuple[int, ...]:
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     h = a * np.uint64(0xD6E8FEB86659FD93)
-    h += b * np.uint64(0x9E3779B97F4A7C15)
+    h += b
     h ^= h >> np.uint64(32)
     return h
 
 
+#: Hash of each byte.
+_BYTE = B.draw(np.arange(256).astype(np.uint64), 5)
+
+
 def gram_hashes(x: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of the ``k`` bytes from each place on, by doubling."""
-    h = B.draw(x.astype(np.uint64), 5)
+    h = _BYTE[x]
     size, out, have = 1, None, 0
     while True:
         if k & size:
@@ -125,22 +129,25 @@ def transform(symbols: np.ndarray, sizes: np.ndarray, cap: int) -> tuple[np.ndar
         done += 1
         fresh = np.zeros(len(bwt), bool)
         fresh[row] = True
+        owner = np.empty(len(bwt), np.int32)
+        owner[row] = text
         order = symbol_order(bwt)
-        new = fresh[order]
-        at = np.flatnonzero(new)
-        text = text[np.searchsorted(row, order[at])]
+        new = np.append(fresh[order], True)
+        at = np.flatnonzero(new)[:-1]
+        text = owner[order[at]]
         left = sizes[text] - done
         put = np.where(left > 0, padded[first[text] + np.maximum(left, 0)], 0)
-        old = ~new
+        old = ~new[:-1]
         next_bwt = np.empty(n + len(order), np.uint8)
-        next_lcp = np.zeros(n + len(order) + 1, lcp.dtype)
+        next_lcp = np.empty(n + len(order) + 1, lcp.dtype)
         next_bwt[:n] = bwt[:n]
+        next_lcp[:n] = next_lcp[-1] = 0
         body, common = next_bwt[n:], next_lcp[n:-1]
         body[old], body[at] = bwt[n:], put
         common[old] = lcp[n:-1]
         # New rows and those behind them: one more than the least between their tails.
-        t = np.union1d(at, at + 1)
-        t = t[(t > 0) & (t < len(order))]
+        behind = at + 1
+        t = np.concatenate([at[1:] if at[0] == 0 else at, behind[~new[behind]]])
         low, high = order[t - 1] + 1, order[t] + 1
         value = np.zeros(len(t), lcp.dtype)
         same = np.flatnonzero(bwt[low - 1] == bwt[high - 1])
@@ -164,6 +171,8 @@ def symbol_order(bwt: np.ndarray) -> np.ndarray:
 def repeated_starts(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first, n) of the runs of starts whose ``length`` bytes occur twice or more in the texts."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    if not len(sizes):
+        return (np.zeros(0, np.int64),) * 3
     bwt, lcp = transform(np.frombuffer(b"".join(texts), np.uint8) + np.uint8(1), sizes, length)
     reach = np.append(lcp >= length, False)
     hit = reach[:-1] | reach[1:]
@@ -189,6 +198,23 @@ def repeated_starts(texts: list[bytes], length: int) -> tuple[np.ndarray, np.nda
     return doc[a], a - base[doc[a]], b - a + 1
 
 
+def shared_parts(texts: list[bytes], collection: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, size) of the parts whose windows' anchors, for grams of four fifths of a window, occur twice in the text's collection.
+
+    A window that occurs twice lies in such a part, whole.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    doc, first, n, anchor, _ = cut(np.frombuffer(b"".join(texts), np.uint8), sizes, length, max(1, length * 4 // 5))
+    _, which, times = np.unique(_pair(anchor, collection[doc]), return_inverse=True, return_counts=True)
+    keep = times[which] > 1
+    doc, first, n = doc[keep], first[keep], n[keep]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + n[:-1])
+    at = np.flatnonzero(new)
+    end = np.append(at, len(doc))[1:] - 1
+    return doc[at], first[at], first[end] + n[end] - first[at] + length - 1
+
+
 _PIECES = T.StructType([T.StructField(c, T.LongType()) for c in ("m", "p", "k1", "k2", "first", "n")])
 
 
@@ -248,9 +274,11 @@ def _compared(pieces: DataFrame, length: int) -> DataFrame:
     """Runs of repeated windows (``from``, ``n``) in the pieces (m, p, t) of collections m."""
 
     def solve(rows: list) -> pa.RecordBatch:
-        doc, first, n = repeated_starts([r[2] for r in rows], length)
         m, p = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(a) for a in (m[doc], p[doc], first, n)], names=_SPANS.fieldNames())
+        doc, at, size = shared_parts([r[2] for r in rows], m.view(np.uint64), length)
+        part, first, n = repeated_starts([rows[d][2][a:a + z] for d, a, z in zip(doc.tolist(), at.tolist(), size.tolist(), strict=True)], length)
+        doc = doc[part]
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in (m[doc], p[doc], at[part] + first, n)], names=_SPANS.fieldNames())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list = []
