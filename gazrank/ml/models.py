@@ -10,8 +10,7 @@ persistable ``PipelineModel``.
 from __future__ import annotations
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.feature import (CountVectorizer, Normalizer, OneHotEncoder, SQLTransformer,
-                                StringIndexer, VectorAssembler)
+from pyspark.ml.feature import CountVectorizer, Normalizer, SQLTransformer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,15 +52,17 @@ def feature_stages(section: int, binary: bool = True, use_idf: bool | None = Non
     if norm in ("l1", "l2"):
         stages.append(Normalizer(inputCol=vec, outputCol="tf_norm", p=1.0 if norm == "l1" else 2.0))
         vec = "tf_norm"
-    stages += [
-        StringIndexer(inputCol="tipo_edicao", outputCol="tipo_idx", stringOrderType="alphabetDesc",
-                      handleInvalid="error"),
-        OneHotEncoder(inputCol="tipo_idx", outputCol="tipo_vec", dropLast=True),
-        VectorAssembler(inputCols=[vec, "tipo_vec"], outputCol="features"),
-    ]
+    stages += [edition_indicator(), VectorAssembler(inputCols=[vec, "tipo_vec"], outputCol="features")]
     return stages
 
 
+def edition_indicator(input_col: str = "tipo_edicao", output_col: str = "tipo_vec") -> SQLTransformer:
+    """VEC7: the edition type has two values (TXT1), so its one-hot vector without the first category is one
+    number, 1 for an ordinary edition; nothing is fitted, and a part with one type is like any other."""
+    return SQLTransformer(statement=f"SELECT *, CAST(coalesce({input_col} = 'Ordinária', false) AS DOUBLE) AS {output_col} "
+                                    "FROM __THIS__")
+
+
 def split_stateless(pipeline: Pipeline) -> tuple[list, list]:
     """Leading stages that need no fit (text preprocessing) and the rest."""
     stages = pipeline.getStages()

@@ -235,16 +235,11 @@ def vec6(spark, sf):
           lambda: sql(f"SELECT doc_id, CASE WHEN {T.sql_edition_type('edicao')} = 'Ordinária' THEN 1.0 "
                       "ELSE 0.0 END AS tipo_edicao_ordinaria FROM base"))
 def vec7(spark, sf):
-    """VEC7: one-hot of the edition type, first category dropped (MLlib)."""
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
-    from pyspark.ml.functions import vector_to_array
+    """VEC7: one-hot of the edition type, first category dropped."""
+    from ..ml.models import edition_indicator
     from .common import base
     df = base(spark, sf).select("doc_id", T.edition_type("edicao").alias("tipo_edicao"))
-    idx = StringIndexer(inputCol="tipo_edicao", outputCol="_i", stringOrderType="alphabetDesc",
-                        handleInvalid="error").fit(df)
-    enc = OneHotEncoder(inputCol="_i", outputCol="_v", dropLast=True).fit(idx.transform(df))
-    out = enc.transform(idx.transform(df))
-    return out.select("doc_id", vector_to_array("_v").getItem(0).alias("tipo_edicao_ordinaria"))
+    return edition_indicator(output_col="tipo_edicao_ordinaria").transform(df).select("doc_id", "tipo_edicao_ordinaria")
 
 
 @register("agg13_term_in_every_doc",
@@ -367,6 +362,65 @@ def sim2(spark, sf):
                    F.sum("rm").cast("bigint").alias("n_val_docs"))
 
 
+# The weighted form reads section 1's vectors: TF-IDF of uni- and bigrams, in which a pair's dot product is several units.
+WEIGHTED_THRESHOLD = 1.0
+
+
+def weighted_val_train(spark, sf):
+    """Weighted vectors (train idf, binary tf, uni- and bigrams of the section-1 text) of validation and train."""
+    docs = _doc_table(features(spark, sf, 1), 2)
+    terms = _explode(docs)
+    train = terms.filter(F.col("split") == "train")
+    n_train = docs.filter(F.col("split") == "train").count()
+    vocab = V.sklearn_idf(V.fit_vocabulary(train, n_train, with_index=False), n_train)
+    ranks = materialize(SIM.term_ranks(vocab))
+    values = V.tfidf(terms, vocab, "doc_id")
+    vectors = lambda name: SIM.weighted_vectors(
+        values.join(docs.filter(F.col("split") == name).select("doc_id"), "doc_id", "left_semi"), "doc_id", ranks)
+    return vectors("val"), vectors("train")
+
+
+def _sql_weighted():
+    feat = P.sql_section_features(1, keep=["doc_id", "relevancia", "split"], source="splits")
+    grams = T.sql_ngrams(T.sql_tokens(TEXT), 1, 2)
+    return (f"wf AS ({feat}), "
+            f"wt AS (SELECT doc_id, split, unnest(list_distinct({grams})) AS term FROM wf), "
+            "wn AS (SELECT count(*) AS n FROM splits WHERE split = 'train'), "
+            "wv AS (SELECT term, ln((1.0 + (SELECT n FROM wn)) / (1.0 + count(*))) + 1.0 AS w FROM wt WHERE split = 'train' "
+            "GROUP BY term), "
+            "we AS (SELECT doc_id, split, wt.term, w FROM wt JOIN wv ON wt.term = wv.term), "
+            "wd AS (SELECT doc_id, split, sum(w) AS s, md5(string_agg(term, '|' ORDER BY term)) AS k FROM we GROUP BY 1, 2), "
+            "wr AS (SELECT split, k, min(doc_id) AS rep, count(*) AS n FROM wd GROUP BY 1, 2), "
+            "ws AS (SELECT we.split, rep, n, term, w, s FROM we JOIN wd USING (doc_id) JOIN wr ON wr.k = wd.k "
+            "AND wr.split = wd.split AND wr.rep = we.doc_id), "
+            "wp AS (SELECT a.rep AS train_rep, b.rep AS val_rep, any_value(a.n) AS train_copies, any_value(b.n) AS val_copies, "
+            "sum(a.w * b.w) / sqrt(any_value(a.s) * any_value(b.s)) AS sim FROM ws a JOIN ws b ON a.term = b.term "
+            "WHERE a.split = 'train' AND b.split = 'val' GROUP BY 1, 2)")
+
+
+@register("sim2_weighted_pairs",
+          lambda: sql("SELECT train_rep, val_rep, CAST(train_copies AS BIGINT) AS train_copies, CAST(val_copies AS BIGINT) AS "
+                      f"val_copies, round(sim, 6) AS sim FROM wp WHERE sim >= {WEIGHTED_THRESHOLD}", _sql_weighted()))
+def sim2_weighted(spark, sf):
+    """SIM2, section 1's form: dot product over the root of both sums of weights. One row for each pair of different
+    vectors (a vector's first document, and how many documents have it)."""
+    val, train = weighted_val_train(spark, sf)
+    return SIM.weighted_pairs(train, val, WEIGHTED_THRESHOLD).select(
+        F.col("left_rep").alias("train_rep"), F.col("right_rep").alias("val_rep"), F.col("left_copies").alias("train_copies"),
+        F.col("right_copies").alias("val_copies"), F.round("sim", 6).alias("sim"))
+
+
+@register("sim1_term_table",
+          lambda: sql("SELECT term, CAST(count(*) AS BIGINT) AS df, round(count(*) / (SELECT n FROM cn), 9) AS mean FROM ctv GROUP BY term",
+                      _sql_sim1()))
+def sim1_terms(spark, sf):
+    """SIM1: vocabulary of the labelled corpus with its mean vector (each term's share of the documents)."""
+    docs = _doc_table(features(spark, sf, 2))
+    n = docs.count()
+    vocab = V.fit_vocabulary(_explode(docs), n, K.SECTION2_MIN_DF, K.SECTION2_MAX_DF, with_index=False)
+    return vocab.select("term", "df", F.round(F.col("df") / n, 9).alias("mean"))
+
+
 def _sql_sim1():
     feat = P.sql_section_features(2, keep=["doc_id"], source="base")
     return (f"cf AS ({feat}), "
