@@ -10,7 +10,6 @@ from __future__ import annotations
 import itertools
 import math
 import random
-import time
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
@@ -191,53 +190,70 @@ SECTION1_GRID = {"alpha": K.SECTION1_ALPHA_GRID, "binary": [True, False], "use_i
 
 
 def search_fixed_split(spark: SparkSession, train: DataFrame, val: DataFrame, candidates: list[dict],
-                       section: int = 1, parallelism: int = 8) -> DataFrame:
+                       section: int = 1, id_col: str = "doc_id", label: str = "relevancia") -> DataFrame:
     """EVA7/EVA8: every candidate fitted on ``train`` and scored (cumulative
     recall) on the fixed ``val`` split and on ``train``.
 
-    Text preprocessing runs once and is cached; features are fitted once per
-    vectorizer setting; only the ridge fit runs per alpha.
+    A candidate has ``alpha`` and any of ``binary``, ``use_idf``, ``norm``, ``weights`` (one for each of
+    ``columns``, all candidates alike; without it the section's own text). The counts are made once; all
+    penalties and weightings are fitted in the passes of :mod:`ridge_path`, and all
+    candidates' scores are ranked by one grouped metric. ``mean_fit_time`` is a candidate's share of the passes.
     """
-    from .models import feature_stages, light
-    from .stages import RidgeRegression
-    pre_stages = feature_stages(section)[:3]  # preprocess, normalise, n-grams
-    pre = Pipeline(stages=pre_stages).fit(train)
-    tr = light(pre.transform(train)).persist()
-    va = light(pre.transform(val)).persist()
-    ev = CumRecallEvaluator()
-    by_vec: dict = {}
-    for c in candidates:
-        by_vec.setdefault((c["binary"], c["use_idf"], c["norm"]), []).append(c)
-    rows = []
-
-    def one(job):
-        c, ftr, fva = job
-        t0 = time.time()
-        m = RidgeRegression(alpha=c["alpha"]).fit(ftr)
-        fit_t = time.time() - t0
-        return (float(c["alpha"]), bool(c["binary"]), bool(c["use_idf"]), str(c["norm"]),
-                ev.evaluate(m.transform(fva)), ev.evaluate(m.transform(ftr)), fit_t)
-
+    from pyspark.ml.feature import CountVectorizer
+    from . import ridge_path as RP
+    from .models import VOCAB_SIZE, edition_indicator, feature_stages
+    rows = train.withColumn("_part", F.lit("train")).unionByName(val.withColumn("_part", F.lit("val")))
+    columns = candidates[0].get("columns")
+    bounds = {} if section == 1 else {"minDF": float(K.SECTION2_MIN_DF), "maxDF": K.SECTION2_MAX_DF}
+    if columns:
+        terms, every = _column_terms(rows, columns, section)
+        names = [f"_terms_{i}" for i in range(len(columns))]
+    else:
+        terms = Pipeline(stages=feature_stages(section)[:3]).fit(rows).transform(rows)
+        names, every = ["terms"], "terms"
+    terms = edition_indicator().transform(terms)
+    counts = CountVectorizer(inputCol=every, outputCol="_tf", vocabSize=VOCAB_SIZE, **bounds).fit(terms.filter("_part = 'train'"))
+    data = RP.counted_rows(terms, counts, names, [id_col, "_part"], label, "tipo_vec").persist()
+    fields = ("binary", "use_idf", "norm", "weights", "agg")
+    made = [RP.Weighting(**{f: c[f] for f in fields if f in c}) for c in candidates]
+    weightings, alphas = list(dict.fromkeys(made)), sorted({float(c["alpha"]) for c in candidates})
     try:
-        # one vectorizer setting at a time: its features are cached, its ridge
-        # fits run in one pool, then the cache goes
-        for (binary, use_idf, norm), cands in by_vec.items():
-            fs = feature_stages(section, binary=binary, use_idf=use_idf, norm=norm)[3:]
-            fm = Pipeline(stages=fs).fit(tr)
-            ftr = fm.transform(tr).select("doc_id", "relevancia", "features").persist()
-            fva = fm.transform(va).select("doc_id", "relevancia", "features").persist()
-            try:
-                with ThreadPoolExecutor(parallelism) as ex:
-                    rows += ex.map(one, [(c, ftr, fva) for c in cands])
-            finally:
-                ftr.unpersist()
-                fva.unpersist()
+        idf, paths = RP.fit_paths(data.filter("_part = 'train'"), len(counts.vocabulary), weightings, alphas)
+        scored = RP.scores(data, [id_col, "_part"], weightings, idf, paths)
+        metric = RK.cum_recall_metric(scored, "y", "score", id_col, group=["_part", "candidate"])
+        got = {(r["_part"], r["candidate"]): r["cum_recall"] for r in metric.collect()}
     finally:
-        tr.unpersist()
-        va.unpersist()
-    schema = ("param_alpha double, param_binary boolean, param_use_idf boolean, param_norm string, "
+        data.unpersist()
+    rows_out = []
+    for c, w in zip(candidates, made, strict=True):
+        i = weightings.index(w)
+        number = i * len(alphas) + alphas.index(float(c["alpha"]))
+        rows_out.append((float(c["alpha"]), w.binary, w.use_idf, str(w.norm), ",".join(f"{x:g}" for x in w.weights),
+                         got.get(("val", number)), got.get(("train", number)), paths[i].seconds / len(alphas)))
+    schema = ("param_alpha double, param_binary boolean, param_use_idf boolean, param_norm string, param_weights string, "
               "mean_test_score double, mean_train_score double, mean_fit_time double")
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(rows_out, schema)
+
+
+def _column_terms(df: DataFrame, columns: list[str], section: int) -> tuple[DataFrame, str]:
+    """Terms of each normalised text column (``_terms_i``) and of all of them joined (``_terms``)."""
+    from ..functions import text as T
+    from ..operators import preprocess as P
+    options = P.SECTION1_TEXT if section == 1 else P.SECTION2_TEXT
+    n_max = 2 if section == 1 else 1
+    keep = [c for c in df.columns if c not in ("titulo", "tipo_edicao")]
+    pre = P.preprocess_articles(df, ["tipo_edicao", "titulo"], keep=keep)
+    clean = lambda c: T.normalize_text(F.coalesce(F.col(c), F.lit("")), stopwords=K.portuguese_stopwords(), **options)
+    texts = pre.select(*[c for c in pre.columns if c not in columns], *[clean(c).alias(f"_text_{i}") for i, c in enumerate(columns)])
+    terms = [T.ngrams(T.tokens(f"_text_{i}"), 1, n_max).alias(f"_terms_{i}") for i in range(len(columns))]
+    joined = F.concat_ws(" ", *[f"_text_{i}" for i in range(len(columns))])
+    return texts.select("*", *terms, T.ngrams(T.tokens(joined), 1, n_max).alias("_terms")), "_terms"
+
+
+def weight_vectors(n_columns: int, n_sets: int = 20, max_weight: int = 9, seed: int = 42) -> list[tuple]:
+    """EVA8: random integer weights (1 to ``max_weight``) for the text columns, the same for the same seed."""
+    rnd = random.Random(seed)
+    return [tuple(float(rnd.randint(1, max_weight)) for _ in range(n_columns)) for _ in range(n_sets)]
 
 
 def random_candidates(params: dict, n_iter: int, seed: int = 42) -> list[dict]:

@@ -312,14 +312,17 @@ def eva10(spark, sf):
     return TU.best_param_slices(result_table(spark, sf), ["param_secao", "param_class"])
 
 
+SEARCH_COLUMNS = ["titulo", "orgao", "ementa", "fulltext"]
+
+
 @register("eva8_random_search")
 def eva8(spark, sf):
-    """EVA8: random search (100 draws of an empty section-2 grid = the
-    default candidate)."""
+    """EVA8: random search over integer weights of the four text columns (20 vectors), their
+    combination and the penalty; one table of counts for all candidates."""
     _, tr, va, _ = _parts(spark, sf)
-    cands = TU.random_candidates({"alpha": [K.SECTION2_RIDGE_ALPHA], "binary": [True],
-                                  "use_idf": [False], "norm": [None]}, 100)
-    return TU.search_fixed_split(spark, tr, va, cands, section=2)
+    params = {"alpha": [K.SECTION2_RIDGE_ALPHA, 300.0], "binary": [True, False], "agg": ["max", "sum"],
+              "weights": TU.weight_vectors(len(SEARCH_COLUMNS)), "columns": [SEARCH_COLUMNS]}
+    return TU.search_fixed_split(spark, tr, va, TU.random_candidates(params, 40), section=2)
 
 
 @register("eva12_cum_recall_evaluator",
