@@ -140,6 +140,39 @@ def relevance_weight(label: str = "relevancia") -> Column:
     return F.col(label).cast("double")
 
 
+def bag_weights(df: DataFrame, n_estimators: int, max_samples: float = 1.0, seed: int = 42, bootstrap: bool = True,
+                id_col: str = "doc_id", prefix: str = "bag_") -> DataFrame:
+    """MOD17: ``df`` with one column of instance weights for each member of a bagged model.
+
+    A weight is how often the member's sample has the row, so no row is copied. With
+    ``bootstrap`` the sample is drawn with replacement (each draw keyed by its number, member and seed), else it is
+    the first rows of a permutation keyed by the member: all rows, if ``max_samples`` is 1.
+    """
+    from ..operators.ordering import with_position
+    spark = df.sparkSession
+    pos = with_position(df.select(id_col), [id_col], name="_p")
+    n = pos.count()
+    take = max(1, int(max_samples * n))
+    if bootstrap:
+        draws = spark.range(n_estimators * take).select(
+            F.floor(F.col("id") / take).alias("_m"), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1))) + 1).alias("_p"))
+        counted = draws.groupBy("_p").agg(*[F.count(F.when(F.col("_m") == i, 1)).cast("double").alias(f"{prefix}{i}")
+                                            for i in range(n_estimators)])
+        weights = pos.join(counted, "_p", "left").na.fill(0.0).drop("_p")
+    else:
+        from ..operators.splits import shuffled_positions
+        weights = pos.drop("_p")
+        for i in range(n_estimators):
+            weights = shuffled_positions(weights, id_col, seed + i, name="_q").withColumn(
+                f"{prefix}{i}", (F.col("_q") <= take).cast("double")).drop("_q")
+    return df.join(weights, id_col)
+
+
+def bagged_ridge(n_estimators: int, alpha: float = K.SECTION2_RIDGE_ALPHA, prefix: str = "bag_", label: str = "relevancia") -> list:
+    """MOD17: stages of a bagged ridge (members on :func:`bag_weights`' columns, then their mean); fits into a pipeline."""
+    return voting([RidgeRegression(alpha=alpha, weightCol=f"{prefix}{i}", labelCol=label) for i in range(n_estimators)])
+
+
 # MLlib's own limit; the reference's tree grows until its leaves are pure.
 MAX_TREE_DEPTH = 30
 

@@ -84,6 +84,26 @@ class TextNormalizer(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadab
         return df.withColumn(g("outputCol"), expr)
 
 
+class TextStemmer(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """TXT10 / EXT3 as a stage: words stemmed at their place. ``stemmer`` names a class (``module:Name``) whose
+    objects, made without arguments, have ``.stem(word)``; empty means no stemming."""
+
+    stemmer = Param(Params._dummy(), "stemmer", "module:Name of the stemmer", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, inputCol=None, outputCol=None, stemmer=""):
+        super().__init__()
+        self._setDefault(stemmer="")
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        from importlib import import_module
+        from ..operators.stemming import stem_words
+        module, _, name = self.getOrDefault("stemmer").partition(":")
+        made = getattr(import_module(module), name)() if module else None
+        return stem_words(df, self.getOrDefault("inputCol"), self.getOrDefault("outputCol"), made)
+
+
 def section_normalizer(section: int, inputCol: str, outputCol: str) -> TextNormalizer:
     opts = P.SECTION1_TEXT if section == 1 else P.SECTION2_TEXT
     return TextNormalizer(inputCol=inputCol, outputCol=outputCol, lowercase=opts["lowercase"],

@@ -58,6 +58,20 @@ def _score(df, metric):
     return rmse(df) if metric == "rmse" else CumRecallEvaluator().evaluate(df)
 
 
+def grouped_scores(parts: list[DataFrame], metric: str, label: str = "relevancia", id_col: str = "doc_id") -> list[float]:
+    """The metric of each scored part, from one table of all of them (one ranking for all, not one each)."""
+    rows = None
+    for i, p in enumerate(parts):
+        part = p.select(F.lit(i).alias("_part"), id_col, label, "prediction")
+        rows = part if rows is None else rows.unionByName(part)
+    if metric == "rmse":
+        got = rows.groupBy("_part").agg(F.sqrt(F.avg(F.pow(F.col(label) - F.col("prediction"), 2))).alias("v"))
+    else:
+        got = RK.cum_recall_metric(rows, label, "prediction", id_col, group=["_part"]).withColumnRenamed("cum_recall", "v")
+    by = {r["_part"]: r["v"] for r in got.collect()}
+    return [float("nan") if by.get(i) is None else float(by[i]) for i in range(len(parts))]
+
+
 def cv_scores(pipeline: Pipeline, df: DataFrame, k: int = 5, seed: int | None = None,
               metric: str = "rmse", on_train: bool = False, permute_seed: int | None = None,
               id_col: str = "doc_id", parallelism: int = 5) -> list[float]:
@@ -96,8 +110,20 @@ def permute_labels(df: DataFrame, seed: int, id_col: str = "doc_id",
     return df.join(perm, id_col).drop(label).withColumnRenamed("_y", label)
 
 
+def cross_val_decisions(pipeline: Pipeline, df: DataFrame, k: int = 3, raw_col: str = "rawPrediction", id_col: str = "doc_id",
+                        label: str = "relevancia", seed: int = K.SHUFFLE_SEED) -> DataFrame:
+    """WIN9 / WIN10: the decision value of each row by a binary classifier fitted on the other folds; every id once.
+
+    The decision value is the class-1 entry of the raw prediction (0 is the default threshold).
+    Output ``id, fold, label, decision``.
+    """
+    from pyspark.ml.functions import vector_to_array
+    out = cross_val_predict(pipeline, df, k, seed, id_col, label, [raw_col])
+    return out.select(id_col, "fold", label, F.element_at(vector_to_array(raw_col), 2).alias("decision"))
+
+
 def cross_val_predict(pipeline: Pipeline, df: DataFrame, k: int = 5, seed: int = K.SHUFFLE_SEED,
-                      id_col: str = "doc_id") -> DataFrame:
+                      id_col: str = "doc_id", label: str = "relevancia", outputs=("prediction",)) -> DataFrame:
     """EVA4: out-of-fold predictions after a seeded shuffle; every id once."""
     from ..session import materialize
     from .models import light, split_stateless
@@ -108,7 +134,7 @@ def cross_val_predict(pipeline: Pipeline, df: DataFrame, k: int = 5, seed: int =
 
     def one(i):
         m = pipeline.fit(folds.filter(F.col("fold") != i))
-        return m.transform(folds.filter(F.col("fold") == i)).select(id_col, "fold", "relevancia", "prediction")
+        return m.transform(folds.filter(F.col("fold") == i)).select(id_col, "fold", label, *outputs)
 
     try:
         with ThreadPoolExecutor(k) as ex:
@@ -122,9 +148,12 @@ def cross_val_predict(pipeline: Pipeline, df: DataFrame, k: int = 5, seed: int =
 
 
 def learning_curve(pipeline: Pipeline, train: DataFrame, val: DataFrame, steps: int = 10,
-                   seed: int = 42, metric: str = "cum_recall", id_col: str = "doc_id") -> DataFrame:
+                   seed: int = 42, metric: str = "cum_recall", id_col: str = "doc_id", parallelism: int = 4) -> DataFrame:
     """EVA5: fit on nested shuffled prefixes, score on the prefix and on the
-    fixed validation set.  Result ``(size, train_score, val_score)``."""
+    fixed validation set.  Result ``(size, train_score, val_score)``.
+
+    The fits run side by side; all scores come from one table.
+    """
     spark = train.sparkSession
     n = train.count()
     sizes = S.learning_curve_sizes(n, steps)
@@ -134,47 +163,56 @@ def learning_curve(pipeline: Pipeline, train: DataFrame, val: DataFrame, steps:
     pos = S.shuffled_positions(light(pm.transform(train)), id_col, seed, name="_lc").persist()
     pval = light(pm.transform(val)).persist()
     pipeline = Pipeline(stages=rest)
-    rows = []
+
+    def one(size):
+        part = pos.filter(F.col("_lc") <= size)
+        m = pipeline.fit(part)
+        return [m.transform(part), m.transform(pval)]
+
     try:
-        for size in sizes:
-            part = pos.filter(F.col("_lc") <= size)
-            m = pipeline.fit(part)
-            rows.append((size, _score(m.transform(part), metric), _score(m.transform(pval), metric)))
+        with ThreadPoolExecutor(parallelism) as ex:
+            scored = list(ex.map(one, sizes))
+        got = grouped_scores([p for pair in scored for p in pair], metric, id_col=id_col)
     finally:
         pos.unpersist()
         pval.unpersist()
+    rows = [(size, got[2 * i], got[2 * i + 1]) for i, size in enumerate(sizes)]
     return spark.createDataFrame(rows, "size long, train_score double, val_score double")
 
 
 def cv_learning_curve(pipeline: Pipeline, df: DataFrame, fractions=tuple(i / 10 for i in range(1, 11)),
-                      k: int = 5, metric: str = "rmse", id_col: str = "doc_id") -> DataFrame:
+                      k: int = 5, metric: str = "rmse", id_col: str = "doc_id", label: str = "relevancia") -> DataFrame:
     """EVA6: per training fraction, mean/std of the k-fold score on the
-    held-out fold and on the part trained on."""
-    from .models import light, split_stateless
+    held-out fold, on the part trained on, and of random predictions on the held-out fold (the band).
+
+    The random predictions follow the class frequencies of the part (MOD8); each is
+    drawn by fold, fraction and id.
+    """
+    from .models import light, random_predictor, split_stateless
     spark = df.sparkSession
     pre, rest = split_stateless(pipeline)
     data = light(Pipeline(stages=pre).fit(df).transform(df))
     pipeline = Pipeline(stages=rest)
     folds = S.with_kfold(data, k, id_col, K.SHUFFLE_SEED).persist()
-    rows = []
     try:
         def fold_curve(i):
             tr = S.shuffled_positions(folds.filter(F.col("fold") != i), id_col, 7, name="_q")
-            n_tr, held, out = tr.count(), folds.filter(F.col("fold") == i), []
-            for frac in fractions:
+            n_tr, held, parts = tr.count(), folds.filter(F.col("fold") == i), []
+            for j, frac in enumerate(fractions):
                 part = tr.filter(F.col("_q") <= max(1, int(frac * n_tr)))
                 m = pipeline.fit(part)
-                out.append((_score(m.transform(held), metric), _score(m.transform(part), metric)))
-            return out
+                parts += [m.transform(held), m.transform(part),
+                          random_predictor(part, held, label, True, seed=1000 * i + j, id_col=id_col)]
+            return grouped_scores(parts, metric, label, id_col)
 
         with ThreadPoolExecutor(k) as ex:
             curves = list(ex.map(fold_curve, range(k)))
-        for j, frac in enumerate(fractions):
-            rows.append((float(frac), *mean_std([c[j][0] for c in curves]), *mean_std([c[j][1] for c in curves])))
     finally:
         folds.unpersist()
-    return spark.createDataFrame(rows, "fraction double, mean_score double, std_score double, "
-                                       "mean_train_score double, std_train_score double")
+    rows = [(float(frac), *[x for kind in range(3) for x in mean_std([c[3 * j + kind] for c in curves])])
+            for j, frac in enumerate(fractions)]
+    return spark.createDataFrame(rows, "fraction double, mean_score double, std_score double, mean_train_score double, "
+                                       "std_train_score double, mean_random double, std_random double")
 
 
 # ---------------------------------------------------------------- search

@@ -9,8 +9,10 @@ oracles.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import functions as F
 
@@ -220,13 +222,17 @@ def mod16(spark, sf):
     return M.token_weights(m, spark, IO.scratch_dir(spark, "weights"))
 
 
+BAG_MEMBERS = 5
+
+
 @register("mod17_alternative_regressors")
 def mod17(spark, sf):
-    """MOD17: elastic net, Huber and a decision tree on section-2 features."""
+    """MOD17: elastic net, Huber, a decision tree and a bagged ridge on section-2 features."""
     s, tr, va, _ = _parts(spark, sf)
     fm = M.fit_cached(Pipeline(stages=M.feature_stages(2)), tr)
-    ftr, fva = fm.transform(tr), fm.transform(va)
-    rows = []
+    ftr, fva = (materialize(M.light(fm.transform(x)).select("doc_id", "relevancia", "features")) for x in (tr, va))
+    bagged = Pipeline(stages=M.bagged_ridge(BAG_MEMBERS)).fit(M.bag_weights(ftr, BAG_MEMBERS))
+    rows = [("bagged_ridge", TU.rmse(bagged.transform(fva)))]
     for kind, a in (("elasticnet", 0.023), ("huber", 0.01), ("tree", 0.0)):
         m = M.alternative_regressor(kind, alpha=a).fit(ftr)
         rows.append((kind, TU.rmse(m.transform(fva))))
@@ -265,7 +271,7 @@ def eva5(spark, sf):
 
 @register("eva6_cv_learning_curve")
 def eva6(spark, sf):
-    """EVA6: CV score per training fraction."""
+    """EVA6: CV score per training fraction, with the band of random predictions."""
     _, tr, _, _ = _parts(spark, sf)
     return TU.cv_learning_curve(M.section1_model(), tr)
 
@@ -277,6 +283,59 @@ def eva7(spark, sf):
     return TU.search_fixed_split(spark, tr, va, TU.grid(TU.SECTION1_GRID), section=1)
 
 
+def _decisions(spark, sf):
+    """Out-of-fold decision values (3 folds) of a linear classifier of relevance on the section-2 features."""
+    _, tr, _, _ = _parts(spark, sf)
+    labelled = tr.withColumn("y", F.col("relevancia").isin(*K.RELEVANT_LABELS).cast("double"))
+    classifier = LogisticRegression(featuresCol="features", labelCol="y", regParam=0.1, elasticNetParam=0.0, maxIter=50)
+    return TU.cross_val_decisions(Pipeline(stages=M.feature_stages(2) + [classifier]), labelled)
+
+
+@register("win9_decision_curve")
+def win9_decisions(spark, sf):
+    """WIN9: precision, recall and false-positive rate at each out-of-fold decision value."""
+    c = RK.threshold_curve(_decisions(spark, sf), score="decision")
+    return c.select(F.round("threshold", 6).alias("threshold"), "tp", "fp",
+                    *[F.round(x, 6).alias(x) for x in ("precision", "recall", "fpr")])
+
+
+@register("win10_decision_roc_point")
+def win10_decisions(spark, sf):
+    """WIN10: the ROC point of the decision value nearest to the default threshold, 0."""
+    c = RK.threshold_curve(_decisions(spark, sf), score="decision")
+    return c.orderBy(F.abs("threshold"), F.col("threshold").desc()).limit(1).select(
+        F.round("threshold", 6).alias("threshold"), F.round("fpr", 6).alias("fpr"), F.round("recall", 6).alias("tpr"))
+
+
+@register("eva3_label_permutation",
+          lambda: sql("SELECT i.doc_id, s.relevancia AS permuted FROM "
+                      "(SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS p FROM splits WHERE split = 'train') i JOIN "
+                      "(SELECT relevancia, row_number() OVER (ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id) AS p "
+                      "FROM splits WHERE split = 'train') s ON i.p = s.p"))
+def eva3_permutation(spark, sf):
+    """EVA3: the labels of the noise floor, a seeded permutation of the training labels."""
+    _, tr, _, _ = _parts(spark, sf)
+    return TU.permute_labels(tr, 7).select("doc_id", F.col("relevancia").alias("permuted"))
+
+
+_NB = ("ln(0.2 + (doc_id % 7) / 10.0)", "ln(0.3 + (doc_id % 5) / 10.0)", "ln(0.9 - (doc_id % 3) / 10.0)", "ln(0.25 + (doc_id % 11) / 20.0)")
+
+
+@register("mod11_combined_posterior",
+          lambda: sql("SELECT doc_id, round(1.0 / (1.0 + exp(a - b)), 6) AS p1, CASE WHEN b > a THEN 1.0 ELSE 0.0 END AS prediction, "
+                      "CASE WHEN 1.0 / (1.0 + exp(a - b)) >= 0.31234 THEN 1.0 ELSE 0.0 END AS at_threshold FROM (SELECT doc_id, "
+                      f"{_NB[0]} + {_NB[2]} - ln(0.6) AS a, {_NB[1]} + {_NB[3]} - ln(0.4) AS b FROM splits)"))
+def mod11_posterior(spark, sf):
+    """MOD11 on given log probabilities: combined posterior, its argmax and its threshold form."""
+    from pyspark.ml.functions import array_to_vector
+    raw = splits(spark, sf).select("doc_id", *[array_to_vector(F.array(F.expr(x), F.expr(y))).alias(n)
+                                               for n, x, y in (("r1", _NB[0], _NB[1]), ("r2", _NB[2], _NB[3]))])
+    prior = [math.log(0.6), math.log(0.4)]
+    c = M.combine_naive_bayes(raw, "r1", "r2", prior)
+    c = M.combine_naive_bayes(c, "r1", "r2", prior, threshold=0.31234, out="at_threshold")
+    return c.select("doc_id", F.round(F.element_at("combined_probability", 2), 6).alias("p1"), "prediction", "at_threshold")
+
+
 _RESULT_SCORES = {"mean_test_score": "val", "mean_train_score": "train"}
 
 
@@ -379,3 +438,16 @@ def bundle(spark, sf):
     IO.save_bundle(d, m, None, tr, te, "cum_recall", ev.evaluate(m.transform(tr)),
                    ev.evaluate(m.transform(te)), val_df=va)
     return IO.load_and_score(spark, d, te).select("doc_id", F.round("prediction", 6).alias("prediction"))
+
+
+@register("snk2_production_model")
+def production_bundle(spark, sf):
+    """EVA11 + SNK2: the section-1 model tested on its splits, fitted again on all rows for production,
+    both saved in one bundle; the production model is loaded back and scores the unlabelled pool."""
+    s, tr, va, te = _parts(spark, sf)
+    tested, production = M.fit_cached(M.section1_model(), tr), M.fit_cached(M.section1_model(), s)
+    scores = TU.grouped_scores([tested.transform(tr), tested.transform(te)], "cum_recall")
+    d = IO.scratch_dir(spark, "production")
+    IO.save_bundle(d, tested, production, tr, te, "cum_recall", *scores, val_df=va)
+    pool = tables.pool(articles(spark, sf)).filter(cuts.pool_cut()).filter(F.col("fulltext").isNotNull())
+    return IO.load_and_score(spark, d, pool, "production_model").select("doc_id", F.round("prediction", 6).alias("prediction"))

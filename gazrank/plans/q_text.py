@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as T
 from ..operators import preprocess as P
+from ..operators.stemming import SuffixStemmer, normalize_and_stem
 from ..sources import tables
 from .common import articles, base, sql
 from .registry import register
@@ -227,3 +228,22 @@ def agg11(spark, sf):
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.round(F.count_if(F.col("tit_org_ementa_text").contains("xxdas")) / F.count(F.lit(1)), 6)
         .alias("share"))
+
+
+def _sql_stemmed():
+    o = dict(P.SECTION2_TEXT)
+    last = {k: o.pop(k) for k in ("strip_accents", "only_letters")}
+    none = {"lowercase": False, "value_tokens": False, "punctuation": False, "cargo_tokens": False}
+    first = T.sql_normalize_text("fulltext", stopwords=K.portuguese_stopwords(), strip_accents=False, only_letters=False, **o)
+    stem = f"regexp_replace(w, '{SuffixStemmer().pattern}', '\\1')"
+    words = f"list_transform(list_filter(string_split_regex({first}, '\\s+'), lambda w: w <> ''), lambda w: {stem})"
+    text = T.sql_normalize_text(f"array_to_string({words}, ' ')", keep_cash=o["keep_cash"], **none, **last)
+    return f"SELECT doc_id, md5({text}) AS stemmed_md5 FROM base"
+
+
+@register("txt10_stemmed_text", lambda: sql(_sql_stemmed()))
+def txt10(spark, sf):
+    """TXT10 at its place in TXT18: a suffix stemmer after the stop words, before accents and letters."""
+    out = normalize_and_stem(base(spark, sf).select("doc_id", "fulltext"), "fulltext", "stemmed", SuffixStemmer(),
+                             stopwords=K.portuguese_stopwords(), **P.SECTION2_TEXT)
+    return out.select("doc_id", F.md5("stemmed").alias("stemmed_md5"))
