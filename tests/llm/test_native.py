@@ -125,6 +125,27 @@ def test_mined_rules_against_counting(spark):
         assert abs(r.confidence - len(hits) / len(has)) < 1e-9 and len(hits) >= 5
 
 
+def test_rules_stay_few(spark):
+    keys = "&".join(f"k{i}=1" for i in range(30))
+    urls = [f"http://hot.net/a?{keys}"] * 40 + [f"http://hot.net/b{i}?{keys}&own{i}=2" for i in range(12)]
+    urls += [f"http://x{i}.com/k{i % 30}?k{i % 30}=3" for i in range(600)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i < 52 else 1, 0) for i in range(len(urls))], "doc_id long, quality int, toxic int")
+    rules = url_rules.mine_rules(pages.withColumn("bad", F.col("page_id") < 52))
+    assert 1 <= rules.count() <= 60
+    out = url_rules.judge_urls(pages.unionByName(spark.createDataFrame([(900, "http://hot.net/new"), (901, "http://y.com/" + "z/" * 20000)],
+                                                                       "page_id long, url string")), labels, [])
+    got = {r.page_id: r.verdict for r in out.collect()}
+    assert all(got[i] == "block" for i in range(52)) and all(got[i] == "allow" for i in range(52, len(urls)))
+    assert got[900] == "block" and got[901] == "allow"
+
+
+def test_minimal_rules(spark):
+    rules = spark.createDataFrame([(["a"], 0.8, 0.1), (["a", "b"], 0.8, 0.1), (["a", "c"], 0.9, 0.1), (["b", "c"], 0.7, 0.1),
+                                   (["b", "c", "d"], 0.7, 0.1)], "tokens array<string>, confidence double, support double")
+    assert {tuple(r.tokens) for r in url_rules.minimal(rules).collect()} == {("a",), ("a", "c"), ("b", "c")}
+
+
 def test_hash_of_kept_text(spark):
     out = line_dedup.drop_repeated_lines(spark.createDataFrame([(1, None)], "doc_id long, text string"))
     assert out.select(F.sha2("kept_text", 256)).first()[0] == hashlib.sha256(b"").hexdigest()

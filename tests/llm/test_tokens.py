@@ -211,3 +211,24 @@ def test_one_slot_that_disagrees(spark):
     n = len(item.split())
     assert (got[1].n_tokens, got[1].n_changed) == (n - 1, 1) and (got[2].n_tokens, got[2].n_changed) == (n - 2, 2)
     assert (got[3].n_tokens, got[3].n_changed) == (n, 3) and got[4].n_tokens >= n - 2
+
+
+def test_warc_bytes_charsets_and_headers(spark):
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html%s\r\nX-Caf\xe9: 1\r\n\r\n"
+    blocks = [head % b"; charset=ISO-8859-1" + b"<p>caf\xe9", head % b"" + b"<meta charset='latin-1'><p>caf\xe9",
+              head % b"" + b"<p>caf\xe9 \xff", head % b"; charset=nonsense" + "<p>café".encode(), head % b"" + "\ufeff<p>café".encode("utf-16-le"),
+              b"\x00\xff", None, b"HTTP/1.1 204 No Content", head % b"" + b"<p>" + b"word " * 400_000]
+    rows = [(i, f"<urn:{i}>", "http://a", "2024", b, {"WARC-IP-Address": "1.2.3.4", "WARC-Truncated": None, "WARC-Date": "given"} if i % 2 == 0 else None)
+            for i, b in enumerate(blocks)]
+    df = spark.createDataFrame(rows, "n long, record_id string, target_uri string, date string, http_block binary, own map<string,string>")
+    got = {r.n: r for r in warc.derivatives(df, headers="own").collect()}
+    texts = [got[i].text for i in range(7)]
+    assert texts == ["café", "café", "caf� �", "café", "café", "\x00�", ""]
+    assert len(got[8].text) == 400_000 * 5 - 1
+    for i, b in enumerate(blocks):
+        raw = b or b""
+        assert got[i].source_block_digest == warc.digest(raw)
+        assert got[i].source_payload_digest == warc.digest(raw.split(b"\r\n\r\n", 1)[-1] if b"\r\n\r\n" in raw else b"" if raw[:4] == b"HTTP" else raw)
+        lines = got[i].metadata.split("\r\n")
+        assert ("source-WARC-IP-Address: 1.2.3.4" in lines) == (i % 2 == 0) and ("source-WARC-Truncated: " in lines) == (i % 2 == 0)
+        assert ("source-WARC-Date: given" in lines) == (i % 2 == 0) and ("source-WARC-Date: 2024" in lines) == (i % 2 == 1)
