@@ -40,9 +40,9 @@ def feature_stages(section: int, binary: bool = True, use_idf: bool | None = Non
         use_idf = True if use_idf is None else use_idf
     else:
         grams = NgramTokenizer(inputCol="text_norm", outputCol="terms", nMin=1, nMax=1)
-        cv = CountVectorizer(inputCol="terms", outputCol="tf", binary=binary,
-                             minDF=float(K.SECTION2_MIN_DF) if bounds else 1.0,
-                             maxDF=K.SECTION2_MAX_DF if bounds else 1.0, vocabSize=VOCAB_SIZE)
+        # CountVectorizer reads a maxDF of 1.0 as one document, so no bound means not to set it.
+        limits = {"minDF": float(K.SECTION2_MIN_DF), "maxDF": K.SECTION2_MAX_DF} if bounds else {}
+        cv = CountVectorizer(inputCol="terms", outputCol="tf", binary=binary, vocabSize=VOCAB_SIZE, **limits)
         use_idf = False if use_idf is None else use_idf
     stages = [pre, normz, grams, cv]
     vec = "tf"

@@ -451,3 +451,45 @@ def production_bundle(spark, sf):
     IO.save_bundle(d, tested, production, tr, te, "cum_recall", *scores, val_df=va)
     pool = tables.pool(articles(spark, sf)).filter(cuts.pool_cut()).filter(F.col("fulltext").isNotNull())
     return IO.load_and_score(spark, d, pool, "production_model").select("doc_id", F.round("prediction", 6).alias("prediction"))
+
+
+@register("prj5_column_selector",
+          lambda: sql("SELECT doc_id, CAST(relevancia AS DOUBLE) AS passed, CASE WHEN relevancia > 2 THEN 1.0 ELSE 0.0 END AS b_label, "
+                      "CASE WHEN doc_id % 9 > 2 THEN 1.0 ELSE 0.0 END AS b_rest FROM splits"))
+def prj5(spark, sf):
+    """PRJ5: columns passed through, and one stage for each column, as vectors."""
+    from pyspark.ml.feature import Binarizer
+    from pyspark.ml.functions import vector_to_array
+    s = splits(spark, sf).select("doc_id", F.col("relevancia").cast("double").alias("label"), (F.col("doc_id") % 9).cast("double").alias("rest"))
+    stages = M.column_selector(["label"], output_col="plain") + M.column_selector(
+        ["label", "rest"], lambda c: Binarizer(inputCol=c, outputCol=f"{c}_vec", threshold=2.0), "stages")
+    out = Pipeline(stages=stages).fit(s).transform(s)
+    plain, both = vector_to_array("plain"), vector_to_array("stages")
+    return out.select("doc_id", F.get(plain, F.lit(0)).alias("passed"), F.get(both, F.lit(0)).alias("b_label"), F.get(both, F.lit(1)).alias("b_rest"))
+
+
+@register("mod10_vote_of_given_labels",
+          lambda: sql("SELECT doc_id, vote FROM (SELECT doc_id, label AS vote, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, "
+                      "label) AS r FROM (SELECT doc_id, unnest([doc_id % 3, doc_id % 4, doc_id % 5, (doc_id * 7) % 3]) AS label FROM splits) "
+                      "GROUP BY doc_id, label) WHERE r = 1"))
+def mod10_vote(spark, sf):
+    """MOD10: the hard vote on given member labels (smallest label on ties)."""
+    d = F.col("doc_id")
+    labels = splits(spark, sf).select("doc_id", F.explode(F.array(d % 3, d % 4, d % 5, (d * 7) % 3)).alias("label"))
+    return M.hard_vote(labels, "doc_id", "label")
+
+
+@register("mod14_nearest_of_given_centres",
+          lambda: sql("SELECT centre, doc_id, round(sqrt(q), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY q, doc_id) "
+                      "AS r FROM (SELECT centre, doc_id, sum(power((doc_id * (dim + 3)) % 5 - ((centre + 1) * (dim + 2)) % 4, 2)) AS q FROM "
+                      "(SELECT doc_id FROM splits), (SELECT range AS centre FROM range(4)), (SELECT range AS dim FROM range(6)) GROUP BY 1, 2)) "
+                      "WHERE r = 1"))
+def mod14_given(spark, sf):
+    """MOD14 on given vectors: the nearest document of each centre (smallest id on ties)."""
+    s = splits(spark, sf).select("doc_id")
+    dims = F.explode(F.sequence(F.lit(0), F.lit(5))).alias("dim")
+    entries = s.select("doc_id", dims).select("doc_id", "dim", ((F.col("doc_id") * (F.col("dim") + 3)) % 5).cast("double").alias("value"))
+    centres = spark.range(4).select(F.col("id").cast("int").alias("centre"), dims).select(
+        "centre", "dim", (((F.col("centre") + 1) * (F.col("dim") + 2)) % 4).cast("double").alias("cvalue"))
+    out = CL.representatives(s, entries.filter("value <> 0"), centres.filter("cvalue <> 0 or dim = 0"))
+    return out.select(F.col("centre").cast("bigint").alias("centre"), "doc_id", F.round("distance", 6).alias("distance"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..operators import aggregates as A
 from ..operators import ranking as RK
 from ..operators.ordering import with_position
 from ..operators import vectorize as V
@@ -277,3 +278,42 @@ def top4(spark, sf):
     w = term_weights(spark, sf)
     k = RK.kth(w, [F.col("weight").asc(), F.col("term").asc()], 14)
     return k.select("term", F.round("weight", 6).alias("weight"))
+
+
+def given_weights(spark, sf):
+    """Token weights with a stand-in importance: the share of relevant documents, of terms in five or more; else 0."""
+    docs, terms, vocab = section2_model_terms(spark, sf)
+    tr = docs.filter(F.col("split") == "train").select("doc_id", "relevancia")
+    mean = tr.agg(F.avg("relevancia")).first()[0]
+    rel = F.avg(F.col("relevancia").isin(*K.RELEVANT_LABELS).cast("double"))
+    j = V.restrict(terms, vocab).join(tr, "doc_id").groupBy("term")
+    return j.agg((F.avg("relevancia") - F.lit(mean)).alias("weight"),
+                 F.when(F.count(F.lit(1)) >= 5, rel).otherwise(F.lit(0.0)).alias("importance")).withColumn("abs_weight", F.abs("weight"))
+
+
+_SQL_GW = ("gw AS (SELECT term, avg(relevancia) - (SELECT avg(relevancia) FROM splits WHERE split = 'train') AS weight, "
+           "CASE WHEN count(*) >= 5 THEN avg(CASE WHEN relevancia IN (4, 5) THEN 1.0 ELSE 0.0 END) ELSE 0.0 END AS importance "
+           "FROM tv WHERE split = 'train' GROUP BY term)")
+
+
+@register("top3_top_terms_by_importance",
+          lambda: sql("SELECT term, round(importance, 6) AS importance, round(weight, 6) AS weight FROM gw WHERE abs(weight) >= 0.05 "
+                      "ORDER BY importance DESC, term LIMIT 20", _sql_sec2(_SQL_GW)))
+def top3_importance(spark, sf):
+    """TOP3, second list: the most important of the tokens with an absolute weight of 0.05 or more."""
+    w = given_weights(spark, sf).filter(F.col("abs_weight") >= 0.05)
+    return w.orderBy(F.col("importance").desc(), F.col("term").asc()).limit(20).select(
+        "term", F.round("importance", 6).alias("importance"), F.round("weight", 6).alias("weight"))
+
+
+@register("agg9_unimportant_weight_histogram",
+          lambda: sql("SELECT b.bin, round(mn + b.bin * (mx - mn) / 40, 6) AS lo, round(mn + (b.bin + 1) * (mx - mn) / 40, 6) AS hi, "
+                      "CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM (SELECT CAST(range AS INT) AS bin FROM range(40)) b CROSS JOIN mm "
+                      "LEFT JOIN (SELECT CAST(least(floor((x - mn) / ((mx - mn) / 40)), 39) AS INT) AS bin, "
+                      "count(*) AS n FROM h CROSS JOIN mm GROUP BY 1) c ON b.bin = c.bin",
+                      _sql_sec2(_SQL_GW + ", h AS (SELECT log10(1e-5 + abs(weight)) AS x FROM gw WHERE abs(importance) <= 1e-8), "
+                                "mm AS (SELECT min(x) AS mn, max(x) AS mx FROM h)")))
+def agg9_weights(spark, sf):
+    """AGG9: log weights of the tokens whose importance is close to 0, in 40 bins."""
+    w = given_weights(spark, sf).filter(F.abs("importance") <= 1e-8)
+    return A.histogram(w.select(F.log10(F.lit(1e-5) + F.col("abs_weight")).alias("x")), "x", 40)

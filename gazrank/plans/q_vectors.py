@@ -194,6 +194,13 @@ def _sql_multicol():
             "AS value FROM per GROUP BY doc_id, term)")
 
 
+def _sql_multicol_counts():
+    pre = P.sql_preprocess_articles(["titulo"], keep=["doc_id", "orgao", "ementa", "fulltext"], source="base")
+    stacks = " UNION ALL ".join(f"SELECT doc_id, {w} AS w, unnest({T.sql_tokens(c)}) AS term FROM pre"
+                                for c, w in zip(_MC_COLS, _MC_W))
+    return f"pre AS ({pre}), per AS (SELECT doc_id, w, term, count(*) AS tf FROM ({stacks}) GROUP BY ALL)"
+
+
 @register("vec5_multicolumn_max",
           lambda: sql("SELECT doc_id, CAST(count(*) AS BIGINT) AS n_terms, round(sum(value), 6) AS sum_v, "
                       "round(max(value), 6) AS max_v FROM agg WHERE value <> 0 GROUP BY doc_id",
@@ -209,6 +216,24 @@ def vec5(spark, sf):
                                       F.round(F.max("value"), 6).alias("max_v"))
 
 
+@register("vec5_multicolumn_sum",
+          lambda: sql("SELECT doc_id, CAST(count(*) AS BIGINT) AS n_terms, round(sum(value), 6) AS sum_v, round(max(value), 6) AS max_v "
+                      "FROM (SELECT doc_id, term, sum(w * tf) AS value FROM per GROUP BY doc_id, term) WHERE value <> 0 GROUP BY doc_id",
+                      _sql_multicol_counts()))
+def vec5_sum(spark, sf):
+    """VEC5: counts of four columns, weighted and added, by the pipeline stage."""
+    from pyspark.ml.functions import vector_to_array
+    from ..ml.vectorizers import WeightedCounts
+    from .common import base
+    pre = P.preprocess_articles(base(spark, sf), ["titulo"], keep=["doc_id", "orgao", "ementa", "fulltext"])
+    stage = WeightedCounts(inputCols=_MC_COLS, outputCol="features", weights=_MC_W, agg="sum", binary=False)
+    values = F.filter(vector_to_array("features"), lambda v: v != 0)
+    out = stage.fit(pre).transform(pre).select("doc_id", values.alias("v"))
+    return out.filter(F.size("v") > 0).select(
+        "doc_id", F.size("v").cast("bigint").alias("n_terms"), F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b), 6).alias("sum_v"),
+        F.round(F.array_max("v"), 6).alias("max_v"))
+
+
 @register("vec6_sparse_max",
           lambda: sql(
               "SELECT doc_id, CAST(count(*) AS BIGINT) AS n_entries, round(sum(v), 6) AS sum_v FROM ("

@@ -120,6 +120,7 @@ def test_key_terms(texts, tmp_path):
     model = stage.fit(texts)
     plain = WeightedCounts(inputCols=["t1"], outputCol="features", binary=False).fit(texts)
     a, b = entries(model.transform(texts), model), entries(plain.transform(texts), plain)
+    assert len(model.vocabulary) == 9 - 1 and sum(map(len, a.values())) > 100
     assert a == {i: {t: v * (10.0 if t in ("nomear", "verba") else 1.0) for t, v in e.items()} for i, e in b.items()}
     model.write().overwrite().save(str(tmp_path / "model"))
     assert entries(type(model).load(str(tmp_path / "model")).transform(texts), model) == a
