@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go; texts and lengths change."""
-    out = line_dedup.drop_repeated_lines(docs)
+    """Lines found in ten different documents (ids) or more go; texts and lengths change."""
+    out = line_dedup.drop_repeated_lines(docs, count_ids=True)
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source",
                       F.char_length("kept_text").cast("long").alias("n_chars"))
 
