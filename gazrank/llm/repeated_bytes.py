@@ -8,8 +8,8 @@ are read once and written anew. A suffix whose common prefix with a neighbour re
 Which texts form a collection: each window of ``length`` bytes belongs to the least hash of its
 ``k``-grams (its anchor), so equal windows have equal anchors wherever they stand. The
 windows in a row with one anchor make a piece. An anchor with a single piece in the whole corpus has
-no repeat; a piece that occurs twice, byte for byte, is a repeat as a whole; anchors with several different
-pieces are the collections. An anchor with more than ``MOST`` different pieces is taken apart by
+no repeat, unless the piece has its anchor's gram at two places (a short period) and may repeat a window itself; a piece that occurs twice, byte for byte, is a repeat as a whole; anchors with several different
+pieces, or with such a piece, are the collections. An anchor with more than ``MOST`` different pieces is taken apart by
 longer grams, at last by whole windows, where equal anchors are equal strings.
 
 Scale: all steps are joins and counts on 64-bit keys, pre-aggregated, over written tables; texts move
@@ -81,17 +81,34 @@ def least_of(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(v[:len(v) - (w - have)], v[w - have:]) if w > have else v
 
 
+def _anchored_twice(grams: np.ndarray, anchor: np.ndarray, first: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
+    """Whether each piece has its anchor's gram at two places or more; without that its windows all differ."""
+    # Grams that are the anchor of a window over them: the highest of these windows' anchors is no lower.
+    edge = np.zeros(most - 1, np.uint64)
+    highest = ~least_of(~np.concatenate([edge, anchor, edge]), most)
+    place = np.flatnonzero(highest == grams)
+    low = np.searchsorted(place, first)
+    number = np.searchsorted(place, first + n + most - 1) - low
+    own = grams[place[X.ragged(low, number)]] == np.repeat(anchor[first], number)
+    return X.sums(own.astype(np.int64), number) > 1
+
+
 def cut(x: np.ndarray, sizes: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
     """Pieces of texts in a row: (text, first window, windows, anchor, hash of the piece)."""
+    return cut_marked(x, sizes, length, k)[:-1]
+
+
+def cut_marked(x: np.ndarray, sizes: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """The pieces of :func:`cut`, and whether a window may occur twice in the piece itself."""
     if len(x) < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, bool),)
     grams = gram_hashes(x, k)
     anchor = least_of(grams, length - k + 1)
     most = length - k + 1
     end = np.cumsum(sizes)
     at = X.ragged(end - sizes, np.maximum(sizes - length + 1, 0))  # the windows, text after text
     if not len(at):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, bool),)
     new = np.ones(len(at), bool)
     new[1:] = (anchor[at[1:]] != anchor[at[:-1]]) | (np.diff(at) != 1)
     start = np.flatnonzero(new)
@@ -108,7 +125,7 @@ def cut(x: np.ndarray, sizes: np.ndarray, length: int, k: int) -> tuple[np.ndarr
         key[inside] = _pair(key[inside], grams[place[inside]])
     key = _pair(key, n.astype(np.uint64))
     doc = np.searchsorted(end, s, "right")
-    return doc, s - (end - sizes)[doc], n, anchor[s], key
+    return doc, s - (end - sizes)[doc], n, anchor[s], key, _anchored_twice(grams, anchor, s, n, most)
 
 
 def transform(symbols: np.ndarray, sizes: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,14 +216,14 @@ def repeated_starts(texts: list[bytes], length: int) -> tuple[np.ndarray, np.nda
 
 
 def shared_parts(texts: list[bytes], collection: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, size) of the parts whose windows' anchors, for grams of four fifths of a window, occur twice in the text's collection.
+    """(text, start, size) of the parts whose windows' anchors, for grams of four fifths of a window, occur twice in the text's collection or the part.
 
     A window that occurs twice lies in such a part, whole.
     """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    doc, first, n, anchor, _ = cut(np.frombuffer(b"".join(texts), np.uint8), sizes, length, max(1, length * 4 // 5))
+    doc, first, n, anchor, _, own = cut_marked(np.frombuffer(b"".join(texts), np.uint8), sizes, length, max(1, length * 4 // 5))
     _, which, times = np.unique(_pair(anchor, collection[doc]), return_inverse=True, return_counts=True)
-    keep = times[which] > 1
+    keep = (times[which] > 1) | own
     doc, first, n = doc[keep], first[keep], n[keep]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + n[:-1])
@@ -215,7 +232,7 @@ def shared_parts(texts: list[bytes], collection: np.ndarray, length: int) -> tup
     return doc[at], first[at], first[end] + n[end] - first[at] + length - 1
 
 
-_PIECES = T.StructType([T.StructField(c, T.LongType()) for c in ("m", "p", "k1", "k2", "first", "n")])
+_PIECES = T.StructType([*[T.StructField(c, T.LongType()) for c in ("m", "p", "k1", "k2", "first", "n")], T.StructField("own", T.BooleanType())])
 
 
 def _pieces(source: DataFrame, length: int, k: int) -> DataFrame:
@@ -223,9 +240,9 @@ def _pieces(source: DataFrame, length: int, k: int) -> DataFrame:
 
     def flush(keys: list, parts: list) -> pa.RecordBatch:
         sizes = np.fromiter((len(p) for p in parts), np.int64, len(parts))
-        doc, first, n, m, p = cut(np.frombuffer(b"".join(parts), np.uint8), sizes, length, k)
+        doc, first, n, m, p, own = cut_marked(np.frombuffer(b"".join(parts), np.uint8), sizes, length, k)
         k1, k2, offset = (np.array(a, np.int64) for a in zip(*keys, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(a) for a in (m.view(np.int64), p.view(np.int64), k1[doc], k2[doc], offset[doc] + first, n)],
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in (m.view(np.int64), p.view(np.int64), k1[doc], k2[doc], offset[doc] + first, n, own)],
                                           names=_PIECES.fieldNames())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,14 +315,14 @@ def _compared(pieces: DataFrame, length: int) -> DataFrame:
 def repeated_windows(source: DataFrame, length: int, most: int = MOST, level: int = 0) -> DataFrame:
     """Runs (``k1``, ``k2``, ``first``, ``n``) of starts in the rows (``k1``, ``k2``, ``t``) of ``source`` whose window occurs elsewhere too."""
     cuts = C.stored(_pieces(source, length, gram_sizes(length)[level]), "pieces")
-    often = cuts.groupBy("m").count().filter("count > 1")
+    often = cuts.groupBy("m").agg(F.count("*").alias("count"), F.max("own").alias("own")).filter("count > 1 or own")
     columns = _PIECES.fieldNames()
     members = C.stored(cuts.join(often.select("m"), "m", "left_semi").groupBy(*columns).agg(F.count("*").alias("times")),
                        "members", free=True)
     C.drop_stored(cuts)
-    copies = C.stored(members.groupBy("m", "p").agg(F.sum("times").alias("copies"), F.min(F.struct("k1", "k2", "first", "n")).alias("one"))
-                      .select("m", "p", "copies", "one.*"), "copies", free=True)
-    several = copies.groupBy("m").agg(F.count("*").alias("texts")).filter("texts > 1")
+    copies = C.stored(members.groupBy("m", "p").agg(F.sum("times").alias("copies"), F.min(F.struct("k1", "k2", "first", "n")).alias("one"),
+                                                          F.max("own").alias("own")).select("m", "p", "copies", "own", "one.*"), "copies", free=True)
+    several = copies.groupBy("m").agg(F.count("*").alias("texts"), F.max(F.expr("own and copies = 1")).alias("own")).filter("texts > 1 or own").drop("own")
     wanted = copies.join(several, "m")
     texts = C.stored(_texts_of(wanted, source, length), "texts", free=True)
     hot = C.stored(several.filter(F.col("texts") > most).select("m"), "hot", free=True)

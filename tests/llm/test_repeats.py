@@ -100,3 +100,17 @@ def test_op11_query(spark, tmp_path):
         r = got[i]
         assert (r.n_bytes, r.n_removed, r.n_spans) == (len((texts[i] or "").encode()), removed, spans)
         assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+def test_repeats_inside_one_piece(spark):
+    """Texts of a short period that only overlap themselves, and the same inside of prose."""
+    rng = random.Random(5)
+    prose = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    texts = ["a" * 41, "ab" * 21 + "a", "xyzw" * 11, "c" * 40, prose(300) + "q" * 45 + prose(300), prose(90) + "12345678" * 6 + prose(90),
+             *[prose(50) + prose(1) * rng.randint(38, 60) + prose(50) for _ in range(30)],
+             *[prose(rng.randint(0, 20)) + (prose(rng.randint(1, 30)) * 60)[:rng.randint(38, 90)] + prose(20) for _ in range(200)]]
+    for most in (R.MOST, 1):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: r for r in R.drop_repeated_bytes(df, length=40, most=most).collect()}
+        for i, (removed, spans, kept) in enumerate(brute(texts, 40)):
+            assert (sum(s.stop - s.start for s in got[i].spans), len(got[i].spans), bytes(got[i].kept)) == (removed, spans, kept), (most, i)
