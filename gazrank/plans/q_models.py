@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..ml import cluster as CL
+from ..ml import kmeans as KM
 from ..ml import models as M
 from ..ml import tuning as TU
 from ..ml.stages import RidgeRegression
@@ -163,23 +164,21 @@ def mod12(spark, sf):
         "doc_id", F.round("ridge_pred", 6).alias("ridge_pred"), F.round("prediction", 6).alias("prediction"))
 
 
-def _pool_model(spark, sf):
-    """The pool that passes its cut, with every term of the text as a feature: fitted features and the rows."""
+def _pool_rows(spark, sf):
+    """The pool that passes its cut, with every term of the text as a feature: the rows, their entries and both as tiles."""
     pool = tables.pool(articles(spark, sf)).filter(cuts.pool_cut()).filter(F.col("fulltext").isNotNull())
     # the edition type as one 0/1 column, also where only one type occurs
     extra = SQLTransformer(statement="SELECT *, CAST(tipo_edicao <> 'Extra' AS DOUBLE) AS edition FROM __THIS__")
-    stages = M.feature_stages(2, bounds=False)[:4] + [
-        extra, VectorAssembler(inputCols=["tf", "edition"], outputCol="features")]
-    return M.fit_cached(Pipeline(stages=stages), pool), pool
+    fm = Pipeline(stages=M.feature_stages(2, bounds=False)[:3] + [extra]).fit(pool)
+    rows = materialize(fm.transform(pool).select("doc_id", "terms", "edition"))
+    entries = materialize(CL.sparse_entries(rows))
+    return entries, KM.tiled(rows.select("doc_id"), entries)
 
 
 def _clusters(spark, sf):
-    fm, pool = _pool_model(spark, sf)
-    rows = materialize(M.light(fm.transform(pool)).select("doc_id", "terms", "edition", "features"))
-    km = CL.fit_kmeans(rows.select("doc_id", "features"), K.KMEANS_K)
-    own = km.transform(rows.select("doc_id", "features")).select("doc_id", F.col("cluster").alias("centre"))
-    entries = CL.sparse_entries(spark, rows, fm, IO.scratch_dir(spark, "vocabulary"))
-    return materialize(own), materialize(entries), CL.centre_table(spark, km, IO.scratch_dir(spark, "kmeans"))
+    entries, data = _pool_rows(spark, sf)
+    km = CL.fit_kmeans(data, K.KMEANS_K)
+    return materialize(km.labels("centre")), entries, materialize(CL.centre_table(km))
 
 
 @register("mod13_kmeans_pool")
@@ -209,9 +208,7 @@ def mod15(spark, sf):
 @register("mod10_bagged_kmeans_vote")
 def mod10(spark, sf):
     """MOD10: bagged k-means members, centres aligned, with a hard vote."""
-    fm, pool = _pool_model(spark, sf)
-    rows = materialize(M.light(fm.transform(pool)).select("doc_id", "features"))
-    return CL.bagged_kmeans_vote(rows, n_estimators=4, k=5)
+    return CL.bagged_kmeans_vote(_pool_rows(spark, sf)[1], n_estimators=4, k=5)
 
 
 @register("mod16_token_weights")

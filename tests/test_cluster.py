@@ -66,3 +66,37 @@ def test_no_term_is_dropped(spark):
     m = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=M.VOCAB_SIZE).fit(df)
     assert len(m.vocabulary) == 3000
     assert M.VOCAB_SIZE == 2**31 - 1
+
+
+def test_kmeans_rests(spark):
+    rng = np.random.default_rng(11)
+    x = (rng.random((300, 40)) < 0.2).astype(float)
+    x[7] = 0.0
+    x[20:40] = x[20]  # copies
+    size = 2**31 - 1  # no vector of this length fits anywhere
+    at = [d * 50_000_000 for d in range(40)]
+    rows = [(i, Vectors.sparse(size, [(at[d], 1.0) for d in range(40) if x[i, d]])) for i in range(300)]
+    fitted = CL.fit_kmeans(spark.createDataFrame(rows, ["doc_id", "features"]), 9, 1)
+    own = {r.doc_id: r.cluster for r in fitted.labels().collect()}
+    label = np.array([own[i] for i in range(300)])
+    centres = np.array([x[label == j].mean(axis=0) for j in range(9)])
+    d = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+    assert (d[np.arange(300), label] <= d.min(axis=1) + 1e-9).all()
+    got = np.zeros_like(centres)
+    for r in CL.centre_table(fitted).collect():
+        got[r.centre, at.index(r.dim)] = r.cvalue
+    assert np.allclose(got, centres)
+
+
+def test_kmeans_with_few_rows(spark):
+    rows = [(i, Vectors.dense([float(i % 3), 1.0])) for i in range(12)]
+    fitted = CL.fit_kmeans(spark.createDataFrame(rows, ["doc_id", "features"]), 5, 1)
+    groups = {(r.doc_id % 3, r.cluster) for r in fitted.labels().collect()}
+    assert len(groups) == 3 and fitted.centres.k == 3
+
+
+def test_entries_of_terms(spark):
+    rows = spark.createDataFrame([(1, ["b", "a", "b"], 1.0), (2, ["b"], 0.0), (3, ["c", "a", "b"], 1.0), (4, [], 0.0)],
+                                 "doc_id long, terms array<string>, edition double")
+    got = sorted((r.doc_id, r.dim, r.value) for r in CL.sparse_entries(rows).collect())
+    assert got == [(1, 0, 1.0), (1, 1, 1.0), (1, 3, 1.0), (2, 0, 1.0), (3, 0, 1.0), (3, 1, 1.0), (3, 2, 1.0), (3, 3, 1.0)]
