@@ -133,7 +133,11 @@ def multicolumn_counts(df: DataFrame, id_col: str, text_cols: list[str], weights
     else:
         per = (stacked.select(id_col, "col_idx", "w", F.explode(grams).alias("term"))
                .groupBy(id_col, "col_idx", "w", "term").agg(F.count(F.lit(1)).cast("double").alias("tf")))
-    per = restrict(per, vocab).withColumn("v", F.col("tf") * F.col("w"))
+    low, high = df_bounds(n, min_df, max_df)
+    # Bounds that every term meets leave the vocabulary whole: a column's n-grams are among those of the joined text.
+    if low > 1 or high < n:
+        per = restrict(per, vocab)
+    per = per.withColumn("v", F.col("tf") * F.col("w"))
     g = per.groupBy(id_col, "term")
     if agg == "sum":
         vals = g.agg(F.sum("v").alias("value"))

@@ -16,3 +16,15 @@ def test_tfidf_norms(spark):
     assert math.isclose(l2[1, "a"], want["a"] / math.hypot(want["a"], 2 * want["b"])) and l2[2, "a"] == 1.0
     l1 = {(r.doc_id, r.term): r.value for r in V.tfidf(terms, idf, "doc_id", use_idf=False, norm="l1").collect()}
     assert math.isclose(l1[1, "b"], 2 / 3) and l1[2, "a"] == 1.0
+
+
+def test_multicolumn_joins_only_for_bounds(spark):
+    df = spark.createDataFrame([(1, "aa bb", "bb cc"), (2, "aa", None), (3, "dd", "aa")], "id long, t1 string, t2 string")
+    plans = []
+    for bounds in ({}, {"min_df": 2}):
+        _, vals = V.multicolumn_counts(df, "id", ["t1", "t2"], [2.0, 1.0], "max", **bounds)
+        plans.append("leftsemi" in vals._jdf.queryExecution().optimizedPlan().toString().lower())
+        got = {(r.id, r.term): r.value for r in vals.collect()}
+        every = {(1, "aa"): 2.0, (1, "bb"): 2.0, (1, "cc"): 1.0, (2, "aa"): 2.0, (3, "dd"): 2.0, (3, "aa"): 1.0}
+        assert got == {k: v for k, v in every.items() if not bounds or k[1] == "aa"}
+    assert plans == [False, True]
