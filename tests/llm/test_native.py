@@ -140,6 +140,37 @@ def test_rules_stay_few(spark):
     assert got[900] == "block" and got[901] == "allow"
 
 
+def test_no_token_of_a_long_url_is_left_out(spark):
+    import itertools
+    import random
+    draw = random.Random(4)
+    sets, bad = [], []
+    for i in range(400):
+        has = {k for k in range(16) if draw.random() < 0.55} | {20 + i % 7}
+        sets.append(has)
+        bad.append({2, 9, 14} <= has or draw.random() < 0.08)
+    urls = ["http://one.net/?" + "&".join(f"{k:02}={i}" for k in sorted(s)) + f"#{i}" for i, s in enumerate(sets)]
+    pages = spark.createDataFrame([(u, b) for u, b in zip(urls, bad, strict=True)], "url string, bad boolean")
+    got = {tuple(r.tokens): (r.confidence, r.support) for r in url_rules.mine_rules(pages, 0.01, 20, 0.6, 3.0, max_tokens=None).collect()}
+    rows = {}
+    for s, b in zip(sets, bad, strict=True):
+        rows[frozenset(s), b] = 1
+    n, n_bad = len(rows), sum(b for _, b in rows)
+    base = n_bad / n
+
+    def rule(t):
+        own = [b for s, b in rows if set(t) <= s]
+        c = sum(own) / max(len(own), 1)
+        ok = sum(own) >= 20 and c >= 0.6 and (c - base) / (base * (1 - base) / len(own)) ** 0.5 >= 3.0
+        return (c, sum(own) / n) if ok else None
+
+    every = {t: r for size in (1, 2, 3, 4, 5) for t in itertools.combinations(range(27), size) if (r := rule(t))}
+    least = {t: r for t, r in every.items()
+             if not any(every.get(p, (0,))[0] >= r[0] for size in range(1, len(t)) for p in itertools.combinations(t, size))}
+    named = {tuple(int(x[2:]) for x in t): r for t, r in got.items()}
+    assert (2, 9, 14) in least and {t: r for t, r in named.items() if len(t) <= 5} == least
+
+
 def test_minimal_rules(spark):
     rules = spark.createDataFrame([(["a"], 0.8, 0.1), (["a", "b"], 0.8, 0.1), (["a", "c"], 0.9, 0.1), (["b", "c"], 0.7, 0.1),
                                    (["b", "c", "d"], 0.7, 0.1)], "tokens array<string>, confidence double, support double")
