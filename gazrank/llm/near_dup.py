@@ -7,12 +7,18 @@ similarity; documents that agree in all samples of a band meet in a bucket.
 Pairs are verified by the exact weighted Jaccard similarity, and the verified
 links' connected components are the classes.
 
+The idf of a large group's 5-grams falls with the group, that of an edit stays: the
+larger the group, the less alike its copies by these weights. With ``sets`` the distinct 5-grams
+count too, each as one: min-hashes make as many further bands, and a
+pair is a link if either similarity reaches the threshold.
+
 Which pairs: texts of equal words are one node from the start. A bucket does
 not give all its pairs. First every member is held against the bucket's pivot,
 the member that has the most company over all its buckets (the original of a
 group of edited copies). Then every member that is not in its pivot's class
 is held against the members of other classes. So no pair of a bucket that could join two
-classes is left out. Two exact bounds save work without losing a pair: a
+classes is left out. The buckets of min-hashes give their pivots' pairs only: edited copies of one
+text often meet there without a link, so that all pairs of them would grow with the square of the group. Two exact bounds save work without losing a pair: a
 document whose weight in 5-grams of two documents or more is under the
 threshold's share has no partner and is not sampled, and a pair whose weights
 rule the threshold out is not verified.
@@ -100,6 +106,11 @@ def samples(h: np.ndarray, weight: np.ndarray, first: np.ndarray, n: int) -> np.
     return out
 
 
+def minima(h: np.ndarray, first: np.ndarray, n: int, start: int) -> np.ndarray:
+    """``n`` min-hashes of each set, by the hash functions from number ``start`` on."""
+    return np.stack([np.minimum.reduceat(B.draw(h, start + k), first) for k in range(n)])
+
+
 def fingerprints(b: B.Block) -> list[bytes]:
     word = b.words[b.codes]
     return [hashlib.blake2b(word[s:s + n].tobytes(), digest_size=16).digest()
@@ -112,27 +123,29 @@ def possible(u1: Column, w1: Column, u2: Column, w2: Column, threshold: float) -
     return both >= (threshold - 1e-9) * (w1 + w2 - both)
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold."""
-    side = lambda n: nodes.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("items", "weights", "total")])
+def verify(pairs: DataFrame, nodes: DataFrame, threshold: float, sets: bool = False) -> DataFrame:
+    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold, or with ``sets`` that of their distinct 5-grams."""
+    fields = ("items", "weights", "total", "size")
+    side = lambda n: nodes.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in fields])
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    columns = ["a", "b", "items_a", "weights_a", "total_a", "items_b", "weights_b", "total_b"]
+    columns = ["a", "b", *[f"{c}_{n}" for n in "ab" for c in fields]]
     schema = T.StructType([T.StructField(c, T.BinaryType()) for c in ("a", "b")])
 
     def run(batches):
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             ok = []
-            for _, _, ia, wa, ta, ib, wb, tb in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for _, _, ia, wa, ta, na, ib, wb, tb, nb in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 _, x, y = np.intersect1d(B.unpack_sorted(ia), B.unpack_sorted(ib), assume_unique=True, return_indices=True)
                 both = np.minimum(B.unpack(wa, np.float64)[x], B.unpack(wb, np.float64)[y]).sum()
-                ok.append(both >= (threshold - 1e-9) * (ta + tb - both))
+                ok.append(both >= (threshold - 1e-9) * (ta + tb - both)
+                          or sets and len(x) >= (threshold - 1e-9) * (na + nb - len(x)))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
     return joined.select(*columns).mapInArrow(run, schema)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
-            bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+            bands: int = BANDS, rows: int = ROWS, sets: bool = False) -> DataFrame:
     """For each row of ``docs`` its keys ``rk1, rk2``, its id, ``class_id`` and ``leads``.
 
     The class id is the smallest id of the class; the row with it leads (of
@@ -142,32 +155,35 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
       of fewer than five words match texts with the same words only.
     * words are compared with A-Z in lower case; white space does not count.
     * a null id comes after all others; a class of null ids only has a null class id.
-    * a similarity equal to the threshold is a link.
+    * a similarity equal to the threshold is a link; with ``sets`` either similarity makes one.
     * an empty table gives an empty table; extra columns are not looked at.
     """
     blocks = B.build(docs, [F.col(id_col), *C.row_key(F.col(id_col), F.col(text))], F.col(text), F.lit(0), "dup-blocks",
                      BLOCK_BYTES)
     total = blocks.agg(F.sum(F.size("k0"))).first()[0] or 0
-    counts = B.count_items(blocks, _items, 1, lambda items, totals: [], "dup-counts")
+    counts = B.count_items(blocks, _items, 1, lambda items, totals: [], "dup-counts", free=True)
     schema = T.StructType([
         T.StructField("id", docs.schema[id_col].dataType), T.StructField("rk1", T.LongType()), T.StructField("rk2", T.LongType()),
         T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
         T.StructField("items", T.BinaryType()), T.StructField("weights", T.BinaryType()),
-        T.StructField("total", T.DoubleType()), T.StructField("shared", T.DoubleType())])
+        T.StructField("total", T.DoubleType()), T.StructField("shared", T.DoubleType()),
+        T.StructField("size", T.LongType()), T.StructField("common", T.LongType())])
 
     def sign(b: B.Block, totals: list[np.ndarray]) -> pa.Table:
         doc, h, tf = weighted(b)
         n = len(b.sizes)
         df = totals[0][np.searchsorted(np.unique(h), h)]
         weight = tf * (np.log((1 + total) / (1 + df)) + 1)
-        whole, common = np.bincount(doc, weight, n), np.bincount(doc, weight * (df > 1), n)
+        whole, shared = np.bincount(doc, weight, n), np.bincount(doc, weight * (df > 1), n)
+        size, common = np.bincount(doc, minlength=n), np.bincount(doc[df > 1], minlength=n)
         node = fingerprints(b)
         first_of = {}
         for i, x in enumerate(node):
             first_of.setdefault(x, i)
         chosen = np.zeros(n, bool)
         chosen[list(first_of.values())] = True
-        chosen &= (whole > 0) & (common >= (threshold - 1e-9) * whole)
+        enough = shared >= (threshold - 1e-9) * whole
+        chosen &= (whole > 0) & (enough | (common >= (threshold - 1e-9) * size) if sets else enough)
         inside = chosen[doc]
         d, hh, ww, dd = doc[inside], h[inside], weight[inside], df[inside]
         at = np.flatnonzero(chosen)
@@ -177,8 +193,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
         vectors: list = [(None, None)] * n
         if len(at):
             drawn = samples(hh, ww, first, bands * rows)
-            sign = [np.full(len(at), np.uint64(i)) for i in range(bands)]
-            for i in range(bands):
+            if sets:
+                drawn = np.concatenate([drawn, minima(hh, first, bands * rows, 2 * bands * rows + 1)])
+            sign = [np.full(len(at), np.uint64(i)) for i in range(len(drawn) // rows)]
+            for i in range(len(sign)):
                 for s in drawn[i * rows:(i + 1) * rows]:
                     sign[i] = B.mix(sign[i], s)
             table = np.stack(sign, axis=1).view(np.int64)
@@ -188,14 +206,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
                 vectors[i] = (B.pack_sorted(hh[first[j]:last[j]][several]), B.pack(ww[first[j]:last[j]][several]))
         return pa.table([*b.keys, pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
                          pa.array([v[0] for v in vectors], pa.binary()), pa.array([v[1] for v in vectors], pa.binary()),
-                         pa.array(whole), pa.array(common)], names=schema.fieldNames())
+                         pa.array(whole), pa.array(shared), pa.array(size, pa.int64()), pa.array(common, pa.int64())], names=schema.fieldNames())
 
-    signed = C.stored(B.with_totals(blocks, counts, 1, sign, schema), "dup-signed")
+    signed = C.stored(B.with_totals(blocks, counts, 1, sign, schema), "dup-signed", free=True)
     for done in (blocks, counts):  # nothing reads them from here on
         C.drop_stored(done)
     nodes = C.stored(signed.filter("bands is not null").groupBy("node").agg(
-        *[F.first(c).alias(c) for c in ("bands", "items", "weights", "total", "shared")]), "dup-nodes")
-    links = _links(nodes, threshold)
+        *[F.first(c).alias(c) for c in ("bands", "items", "weights", "total", "shared", "size", "common")]), "dup-nodes")
+    links = _links(nodes, threshold, bands, sets)
     found = components(links)
     leader = F.struct(F.col("id").isNull().alias("none"), "id", "rk1", "rk2")
     groups = signed.groupBy("node").agg(F.min(leader).alias("leader")).join(found, "node", "left").select(
@@ -207,24 +225,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
         ((F.col("rk1") == F.col("leader.rk1")) & (F.col("rk2") == F.col("leader.rk2"))).alias("leads"))
 
 
-def _links(nodes: DataFrame, threshold: float) -> DataFrame:
-    member = nodes.select("node", "total", "shared", "bands", F.posexplode("bands").alias("band", "bucket"))
+def _links(nodes: DataFrame, threshold: float, bands: int, sets: bool) -> DataFrame:
+    sums = ("total", "shared", "size", "common")
+    member = nodes.select("node", *sums, "bands", F.posexplode("bands").alias("band", "bucket"))
     sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     member = C.stored(member.join(sizes, "bucket"), "dup-members")
     company = member.groupBy("node").agg(F.sum("n").alias("company"))
     pivot = member.join(company, "node").groupBy("bucket").agg(
-        F.max(F.struct("company", "node", "total", "shared")).alias("p"))
-    fits = lambda x, y: possible(F.col(f"{x}.shared"), F.col(f"{x}.total"), F.col(f"{y}.shared"), F.col(f"{y}.total"), threshold)
+        F.max(F.struct("company", "node", *sums)).alias("p"))
+
+    fits = lambda part, whole: possible(*[F.col(f"{n}.{c}") for n in ("m", "o") for c in (part, whole)], threshold)
+    weighed, either = fits("shared", "total"), fits("shared", "total") | (F.lit(sets) & fits("common", "size"))
     # The pivot of each row's bucket stays with the row: the second step needs it again.
     member = C.stored(member.join(pivot.select("bucket", "p"), "bucket").select(
-        "bucket", "band", F.struct("node", "total", "shared", "bands").alias("m"), "p"), "dup-pivots")
+        "bucket", "band", F.struct("node", *sums, "bands").alias("m"), "p"), "dup-pivots")
     ordered = [F.least("m.node", "o.node").alias("a"), F.greatest("m.node", "o.node").alias("b")]
-    tested = C.stored(member.withColumnRenamed("p", "o").filter((F.col("m.node") != F.col("o.node")) & fits("m", "o"))
+    tested = C.stored(member.withColumnRenamed("p", "o").filter((F.col("m.node") != F.col("o.node")) & either)
                       .select(*ordered).distinct(), "dup-pairs")
-    links = C.stored(verify(tested, nodes, threshold), "dup-links")
-    # Members outside their pivot's class, against all members of other classes.
+    links = C.stored(verify(tested, nodes, threshold, sets), "dup-links")
+    # Members outside their pivot's class, against all members of other classes: in the weighted samples' buckets.
     found = components(links)
-    classed = (member.select("bucket", "band", "m", F.col("p.node").alias("pivot"), F.col("m.node").alias("node"))
+    classed = (member.filter(F.col("band") < bands).select("bucket", "band", "m", F.col("p.node").alias("pivot"), F.col("m.node").alias("node"))
                .join(found, "node", "left").select("bucket", "band", "m", "pivot", F.coalesce("root", "node").alias("class"))
                .join(found.withColumnsRenamed({"node": "pivot", "root": "proot"}), "pivot", "left")
                .withColumn("outside", F.coalesce("proot", "pivot") != F.col("class")))
@@ -235,9 +256,9 @@ def _links(nodes: DataFrame, threshold: float) -> DataFrame:
     # A pair that shares several buckets comes from the first of them only.
     fresh = F.forall(F.zip_with(F.slice("m.bands", F.lit(1), F.col("band")), F.slice("o.bands", F.lit(1), F.col("band")),
                                 lambda x, y: x != y), lambda x: x)
-    rest = (mixed.join(others, (mixed["bucket"] == others["bucket"]) & (F.col("mclass") != F.col("oclass")) & fits("m", "o") & fresh)
+    rest = (mixed.join(others, (mixed["bucket"] == others["bucket"]) & (F.col("mclass") != F.col("oclass")) & weighed & fresh)
             .select(*ordered).distinct().join(tested, ["a", "b"], "left_anti"))
-    return links.unionByName(C.stored(verify(rest, nodes, threshold), "dup-links"))
+    return links.unionByName(C.stored(verify(rest, nodes, threshold, sets), "dup-links"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
